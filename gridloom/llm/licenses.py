@@ -116,6 +116,11 @@ def numbers(values: list[float]) -> Column:
     return F.split(F.lit(",".join(f"{v:.5g}" for v in values)), ",").cast("array<double>")
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once: neither filters nor projections are moved through a generator."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def grams(words: Column, n: int) -> Column:
     whole = F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.concat_ws(" ", F.slice(words, i, n))))
     return F.coalesce(whole, F.array().cast("array<string>"))
@@ -125,19 +130,20 @@ def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
     """A row for each paragraph of a family: doc_id, paragraph (from 0), family, score, similarity, confirmed, text.
 
     score is the family's calibrated probability, similarity the largest share of a template's word pairs that
-    the paragraph holds (of its words, for a template of one). Paragraphs of the unknown class have no row, so
+    the paragraph holds. Paragraphs of the unknown class have no row, so
     documents that are null, empty or free of licences have none. Repeated rows give repeated rows. More
     columns are not looked at.
     """
     model = model or Model()
-    text = F.lower(F.col(text_col).cast("string"))
     cue = lambda c: functools.reduce(Column.__or__, [F.contains(c, F.lit(w)) for w in CUES])
-    split = F.transform(F.split(F.col(text_col).cast("string"), "\n"), lambda x, i: F.struct(i.alias("paragraph"), x.alias("text")))
-    lines = docs.where(cue(text)).select(F.col(id_col).alias("doc_id"), F.explode(F.filter(split, lambda s: cue(F.lower(s["text"])))).alias("p")).select("doc_id", "p.*")
-    words = lines.withColumn("w", F.filter(F.split(F.lower(F.col("text")), WORD), lambda x: x != "")).where(F.arrays_overlap("w", F.array(*map(F.lit, CUES))))
-    hashed = lambda c: F.transform(c, lambda g: (F.crc32(g.cast("binary")) % BUCKETS).cast("int"))
+    text = F.col(text_col).cast("string")
+    split = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("paragraph"), x.alias("text"), F.lower(x).alias("low")))
+    some = docs.where(F.exists(F.array(F.lower(text)), cue))
+    lines = some.select(F.col(id_col).alias("doc_id"), F.explode(F.filter(split, lambda s: cue(s["low"]))).alias("p")).select("doc_id", "p.*")
+    words = once(lines, "w", F.filter(F.split(F.col("low"), WORD), lambda x: x != "")).where(F.arrays_overlap("w", F.array(*map(F.lit, CUES))))
     w = F.col("w")
-    features = words.withColumn("f", F.array_distinct(hashed(F.concat(w, grams(w, 2), grams(w, 3)))))
+    hashed = F.transform(F.concat(w, grams(w, 2), grams(w, 3)), lambda g: (F.crc32(g.cast("binary")) % BUCKETS).cast("int"))
+    features = once(words, "f", F.array_distinct(hashed))
     norm = F.sqrt(F.size("f") + F.lit(1.0))
 
     def logit(weights: list[float], bias: float) -> Column:
@@ -145,12 +151,11 @@ def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
         total = F.aggregate("f", F.lit(0.0), lambda acc, j: acc + F.element_at(table, j + 1))
         return (F.lit(bias) + total / norm) / F.lit(model.temperature)
 
-    logits = [logit(v, b) for v, b in zip(model.weights, model.bias, strict=True)]
-    scored = features.select("doc_id", "paragraph", "text", "w", F.array(*logits).alias("z"))
-    top = scored.withColumn("m", F.array_max("z")).withColumn("k", F.array_position("z", F.col("m")).cast("int"))
-    shares = top.withColumn("score", F.lit(1.0) / F.aggregate("z", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("m"))))
-    named = shares.withColumn("family", F.element_at(F.array(*map(F.lit, model.families)), F.col("k"))).where((F.col("family") != UNKNOWN) & (F.col("score") >= model.least))
-    pairs = named.withColumn("pairs", grams(w, 2))
+    scored = once(features, "z", F.array(*[logit(v, b) for v, b in zip(model.weights, model.bias, strict=True)]))
+    top = once(scored, "m", F.array_max("z"))
+    known = top.withColumn("family", F.element_at(F.array(*map(F.lit, model.families)), F.array_position("z", F.col("m")).cast("int"))).where(F.col("family") != UNKNOWN)
+    shares = once(known, "score", F.lit(1.0) / F.aggregate("z", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("m"))))
+    pairs = once(shares.where(F.col("score") >= model.least), "pairs", grams(w, 2))
     similar = F.lit(0.0)
     for family, templates in TEMPLATES.items():
         held = []
@@ -158,4 +163,5 @@ def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
             own = sorted({" ".join(x) for x in zip(words_of(t), words_of(t)[1:], strict=False)})
             held.append(F.size(F.array_intersect(F.array(*map(F.lit, own)), F.col("pairs"))) / F.lit(float(len(own))))
         similar = F.when(F.col("family") == family, F.greatest(*held)).otherwise(similar)
-    return pairs.withColumn("similarity", similar).select("doc_id", "paragraph", "family", "score", "similarity", (F.col("similarity") >= CONFIRM).alias("confirmed"), "text")
+    found = once(pairs, "similarity", similar)
+    return found.select("doc_id", "paragraph", "family", "score", "similarity", (F.col("similarity") >= CONFIRM).alias("confirmed"), "text")
