@@ -46,7 +46,7 @@ def templates(line: Column) -> Column:
         none = F.array().cast("array<bigint>")
         return F.when(n < MIN_TOKENS, none).when(n < MIN_OPEN, whole).otherwise(F.concat(whole, opened))
 
-    return F.transform(F.array(F.split(masked(line), " +")), of)[0]
+    return F.transform(F.array(F.array_remove(F.split(masked(line), " "), "")), of)[0]
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
