@@ -67,7 +67,7 @@ class Pieces:
         self.piece_codes = np.zeros((len(words), self.depths[-1]), np.uint64)
         for i, n in enumerate(words):
             self.piece_codes[i, : len(n)] = self.code[[ord(c) for c in n]]
-        self.pairs, self.pairs_apart = np.array([], np.int64), np.array([], bool)
+        self.pairs, self.pairs_apart = np.array([-1], np.int64), np.array([False])
         self.seen: dict[str, int] = {}  # units of earlier batches, with their ids
         self.flat, self.sizes = np.array([], np.int32), np.array([], np.int64)
         self.alone = np.zeros(len(names), bool)
@@ -144,20 +144,16 @@ class Pieces:
     def side_by_side(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """stays() of many pairs; what is known of pairs is kept in order of their keys."""
         keys = left << 32 | right
-        new = np.unique(keys[~self.has(keys)])
+        if len(self.pairs) > PAIRS:
+            self.pairs, self.pairs_apart = np.array([-1], np.int64), np.array([False])
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        new = np.unique(keys[self.pairs[at] != keys])
         if len(new):
-            if len(self.pairs) > PAIRS:
-                self.pairs, self.pairs_apart = self.pairs[:0], self.pairs_apart[:0]
-                new = np.unique(keys)
-            at = np.searchsorted(self.pairs, new)
             apart = [self.stays(k >> 32, k & 0xFFFFFFFF) for k in new.tolist()]
-            self.pairs, self.pairs_apart = np.insert(self.pairs, at, new), np.insert(self.pairs_apart, at, apart)
-        return self.pairs_apart[np.searchsorted(self.pairs, keys)]
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.pairs):
-            return np.zeros(len(keys), bool)
-        return self.pairs[np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)] == keys
+            place = np.searchsorted(self.pairs, new)
+            self.pairs, self.pairs_apart = np.insert(self.pairs, place, new), np.insert(self.pairs_apart, place, apart)
+            at = np.searchsorted(self.pairs, keys)
+        return self.pairs_apart[at]
 
     def units(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units one after another, and how many each has."""
@@ -218,7 +214,13 @@ class Pieces:
         if len(self.seen) > UNITS:
             self.seen, self.flat, self.sizes = {}, self.flat[:0], self.sizes[:0]
         seen, before = self.seen, len(self.seen)
-        places = [[seen.setdefault(u, len(seen)) for u in self.cut(t)] for t in texts]
+        places = []
+        for t in texts:
+            units = self.cut(t)
+            at = list(map(seen.get, units))
+            if None in at:
+                at = [seen.setdefault(u, len(seen)) for u in units]
+            places.append(at)
         if len(seen) > before:
             new, n = self.units(list(itertools.islice(seen, before, None)))
             self.flat, self.sizes = np.concatenate([self.flat, new]), np.concatenate([self.sizes, n])
