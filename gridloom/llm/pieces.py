@@ -9,6 +9,7 @@ would leave there is the one that stands next to its predecessor unmerged.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 import zlib
@@ -247,6 +248,12 @@ class Pieces:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+@functools.lru_cache(maxsize=2)
+def loaded(path: str | None) -> Pieces:
+    """One vocabulary for all tasks of a Python worker, with the units and pairs that it remembers."""
+    return Pieces(path)
+
+
 def chunks(names: list[str]) -> Iterator[list[str]]:
     """Runs of units of about INDEXED characters; a longer unit is a run of its own."""
     at, size = 0, 0
@@ -263,7 +270,7 @@ def encoded(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", t
     """doc_id and ids (array of int) of each whole text; a null or empty text has none. Repeated rows stay repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Pieces(model)
+        own = loaded(model)
         for batch in batches:
             for part in parts(batch):
                 got = own.encode([x or "" for x in part.column(1).to_pylist()])
@@ -288,7 +295,7 @@ def decoded(rows: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id and text of (doc_id, ids); null ids give the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Pieces(model)
+        own = loaded(model)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.decode(x.as_py() or []) for x in batch.column(1)], pa.string())], ["doc_id", "text"])
 
@@ -299,7 +306,7 @@ def digests(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", t
     """doc_id, n_ids, ids_crc32 (little-endian unsigned 32-bit), decoded_crc32 (UTF-8 of the decoded ids), exact: it is the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Pieces(model)
+        own = loaded(model)
         for batch in batches:
             for part in parts(batch):
                 texts = [x or "" for x in part.column(1).to_pylist()]
