@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 import heapq
 import re
 import zlib
@@ -50,6 +51,12 @@ class Encoder:
         return np.array(got, np.uint32)
 
 
+@functools.lru_cache(maxsize=1)
+def loaded() -> Encoder:
+    """One encoder for all tasks of a Python worker."""
+    return Encoder()
+
+
 def capacities(total: int, length: int = SEQUENCE) -> list[int]:
     """Lengths of the sequences of a unit: full ones, and the rest in powers of two, which need no padding."""
     full, rest = divmod(total, length)
@@ -109,7 +116,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = Encoder()
+        encoder = loaded()
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         ids: list = []
         held: list[np.ndarray] = []
