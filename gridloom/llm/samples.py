@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_CLASSES = 1000
+SALTS = 64
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, str, object]]:
@@ -16,8 +17,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col:
     for each different text. More than MAX_CLASSES labels are refused.
     """
     order = Window.partitionBy("label").orderBy("h", id_col)
+    part = Window.partitionBy("label", F.pmod("h", F.lit(SALTS))).orderBy("h", id_col)  # a common label is cut down in parts first
     ids = labels.where(F.col("label").isNotNull() & F.col(id_col).isNotNull()).select(id_col, "label", F.xxhash64(id_col).alias("h")).distinct()
-    chosen = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_class).select(id_col, "label", "h").collect()
+    fewer = ids.withColumn("r", F.row_number().over(part)).where(F.col("r") <= per_class).drop("r")
+    chosen = fewer.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_class).select(id_col, "label", "h").collect()
     if len({r["label"] for r in chosen}) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} labels")
     if not chosen:
