@@ -27,9 +27,10 @@ def masked(line: Column) -> Column:
 
 
 def templates(line: Column) -> Column:
-    """Hashes of the templates of a line: the tree path and all runs, then the path and all runs but one.
+    """Hashes of the templates of a line: the tree path and all runs but one, for each run.
 
-    Lines of fewer than MIN_TOKENS tokens have none.
+    A line of fewer than MIN_OPEN tokens has one template, all its tokens; one of fewer than MIN_TOKENS has
+    none. Lines that are the same in full share all their templates, so they need no template of their own.
     """
 
     def of(tokens: Column) -> Column:
@@ -44,7 +45,7 @@ def templates(line: Column) -> Column:
         )[0]
         whole = F.array(F.xxhash64(F.lit(-1), n, tokens))
         none = F.array().cast("array<bigint>")
-        return F.when(n < MIN_TOKENS, none).when(n < MIN_OPEN, whole).otherwise(F.concat(whole, opened))
+        return F.when(n < MIN_TOKENS, none).when(n < MIN_OPEN, whole).otherwise(opened)
 
     return F.transform(F.array(F.array_remove(F.split(masked(line), " "), "")), of)[0]
 
