@@ -1,6 +1,6 @@
 """Queries over tables, by name."""
 
-from gridloom.plans import raster  # noqa: F401
+from gridloom.plans import planning, raster  # noqa: F401
 from gridloom.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
