@@ -67,18 +67,17 @@ def repeated(raw: np.ndarray) -> np.ndarray:
     return out.astype(np.float32)
 
 
-def responses(net: Net, raw: np.ndarray, e: np.ndarray) -> np.ndarray:
+def responses(net: Net, e: np.ndarray, again: np.ndarray) -> np.ndarray:
     r = e[:-1] @ net.first
     r += e[1:] @ net.second
-    r += np.outer(repeated(raw), net.repeat)
+    r += np.outer(again, net.repeat)
     r += net.offset
     return r
 
 
-def halves(net: Net, raw: np.ndarray) -> np.ndarray:
-    """Mean rectified response of each filter over each half chunk of padded bytes."""
-    e = net.embed[raw].reshape(-1, STEP * EMBED)
-    r = responses(net, raw, e)
+def halves(net: Net, raw: np.ndarray, again: np.ndarray) -> np.ndarray:
+    """Mean rectified response of each filter over each half chunk of padded bytes; again: their repeated windows."""
+    r = responses(net, net.embed[raw].reshape(-1, STEP * EMBED), again)
     np.maximum(r, 0, out=r)
     return np.ones(WINDOWS, np.float32) @ r.reshape(-1, WINDOWS, FILTERS) / WINDOWS
 
@@ -88,7 +87,8 @@ def pooled(net: Net, text: str) -> np.ndarray:
     raw = padded(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))
     best = np.zeros(FILTERS, np.float32)
     for at in range(0, len(raw) - STEP - HALF, RUN):
-        h = halves(net, raw[at : at + RUN + HALF + STEP])  # one half more than the run: no chunk is lost between runs
+        end, before = at + RUN + HALF + STEP, min(at, HALF)  # one half more than the run: no chunk is lost between runs
+        h = halves(net, raw[at:end], repeated(raw[at - before : end])[before // STEP :])
         best = np.maximum(best, ((h[:-1] + h[1:]) / 2).max(axis=0))
     return best
 
@@ -100,7 +100,8 @@ def probability(net: Net, text: str | None) -> float:
 
 def loss_gradient(net: Net, raws: list[np.ndarray], y: np.ndarray) -> list[np.ndarray]:
     """Gradient of the logistic loss of a batch; only each filter's largest chunk passes it on."""
-    hs = [halves(net, raw) for raw in raws]
+    agains = [repeated(raw) for raw in raws]
+    hs = [halves(net, raw, again) for raw, again in zip(raws, agains, strict=True)]
     means = [(h[:-1] + h[1:]) / 2 for h in hs]
     at = np.array([m.argmax(axis=0) for m in means])
     pool = np.array([m.max(axis=0) for m in means])
@@ -108,14 +109,15 @@ def loss_gradient(net: Net, raws: list[np.ndarray], y: np.ndarray) -> list[np.nd
     g = ((1 / (1 + np.exp(-z)) - y) / len(y)).astype(np.float32)
     d_embed, d_first, d_second, d_repeat, d_offset = (np.zeros_like(p) for p in net.parameters()[:5])
     down = np.outer(g, net.out) / (2 * WINDOWS)
-    for i, raw in enumerate(raws):
+    for i, (raw, again) in enumerate(zip(raws, agains, strict=True)):
         for chunk in np.unique(at[i]):
             part = raw[chunk * HALF : chunk * HALF + 2 * HALF + STEP]
             e = net.embed[part].reshape(-1, STEP * EMBED)
-            d = (responses(net, part, e) > 0) * (down[i] * (at[i] == chunk))
+            some = again[chunk * WINDOWS : (chunk + 2) * WINDOWS]
+            d = (responses(net, e, some) > 0) * (down[i] * (at[i] == chunk))
             d_first += e[:-1].T @ d
             d_second += e[1:].T @ d
-            d_repeat += repeated(part) @ d
+            d_repeat += some @ d
             d_offset += d.sum(axis=0)
             de = np.zeros_like(e)
             de[:-1] += d @ net.first.T
