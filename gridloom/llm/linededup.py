@@ -57,22 +57,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of those: the first document keeps what recurs. A row counts once for a template. Lines of fewer than
     MIN_TOKENS tokens stay. A null text stays null, with 0 lines; a row with a null id is never first; if all
     rows of a template have none, its lines stay. Rows of the same id and text get the same result. An empty
-    table gives an empty table; other columns come along, whatever their names.
+    table gives an empty table. Other columns come along, whatever their names; where they are called
+    __lines or __dropped, the numbers get one more underscore in front.
     """
-    clash = {c.lower() for c in docs.columns} & {"__key", "__drop", "__lines", "__dropped"}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are in use here")
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    lines = docs.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("id"), key.alias("key"), F.transform(F.split(F.col(text_col), "\n"), templates).alias("ts")
-    )
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
+    lines = held.where(F.col("text").isNotNull()).select("id", "key", F.transform(F.split("text", "\n"), templates).alias("ts"))
     each = lines.select("id", F.explode(F.array_distinct(F.flatten("ts"))).alias("t"))
     recurring = each.groupBy("t").agg(F.count("*").alias("docs"), F.min("id").alias("first")).where(F.col("docs") >= min_docs).select("t", "first")
     placed = lines.select("id", "key", F.posexplode("ts").alias("pos", "l")).select("id", "key", "pos", F.explode("l").alias("t"))
     hit = placed.join(recurring, "t").where(F.col("first").isNotNull() & F.coalesce(F.col("id") != F.col("first"), F.lit(True)))
-    drop = hit.groupBy("key").agg(F.collect_set("pos").alias("__drop")).withColumnRenamed("key", "__key")
-    joined = docs.withColumn("__key", key).join(drop, "__key", "left")
-    split = F.split(F.col(text_col), "\n")
-    kept = F.filter(F.transform(split, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("__drop"), s["i"]))
-    text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
-    return joined.withColumns({"__lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)), "__dropped": F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop")), text_col: text}).drop("__key", "__drop")
+    drop = hit.groupBy("key").agg(F.collect_set("pos").alias("drop"))
+    joined = held.select("row", "key").join(drop, "key", "left")
+    whole = F.col(f"row.`{text_col}`")
+    split = F.split(whole, "\n")
+    kept = F.filter(F.transform(split, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("drop"), s["i"]))
+    text = F.when(F.col("drop").isNull(), whole).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
+    columns = [(text if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
+    free = lambda c: c if c not in docs.columns else free(f"_{c}")
+    counts = [F.when(whole.isNull(), 0).otherwise(F.size(split)).alias(free("__lines")), F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).alias(free("__dropped"))]
+    return joined.select(*columns, *counts)

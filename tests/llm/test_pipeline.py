@@ -2,6 +2,20 @@ import pytest
 
 from gridloom.llm import langid, linededup, packing, quality, simhash
 from gridloom.llm.common import table
+from tests.llm.common import odd_docs
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    odd = odd_docs(spark).selectExpr("*", "1 AS row", "'a' AS __lines", "2 AS __dropped", "3 AS h", "'x' AS lang_pred", "4 AS predicted", "5 AS `key`", "6 AS drop")
+    docs = odd.union(odd.where("doc_id IS NULL").selectExpr("doc_id", "concat(text, ' Noch ein ganz anderer Satz.') AS text", *[f"`{c}`" for c in odd.columns[2:]]))
+    for _, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and stage(spark, docs.limit(0), sf_dir).collect() == []
+        out.collect()
+    kept = pipeline.without_near_duplicates(spark, docs, sf_dir).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 2, 5, 6, 7, 8] and sum(r.doc_id is None for r in kept) == 2
+    assert pipeline.STAGES[-1][1](spark, docs, sf_dir).count() >= docs.count()
 
 
 def test_stages_do_what_their_operators_say(spark, sf_dir):
