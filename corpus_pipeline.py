@@ -18,30 +18,43 @@ from gridloom.llm.common import ensure_checkpoint_dir, table
 LEAST_LANGUAGE_SCORE = 0.5
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and each row as one column, so that no column's name is in the way."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those without a letter or of an unclear language go."""
+    """Documents in a learned language; those without a letter (null and empty texts too) or of an unclear language go."""
     model = langid.fit(docs, langid.learnable(docs))
-    kept = langid.identify(docs, model, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return kept.where((F.col("lang_pred") != langid.NONE) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    kept = langid.identify(whole_rows(docs), model, keep=("row",))
+    return kept.where((F.col("lang_pred") != langid.NONE) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for good ones; it learns from the labels of documents that are still there."""
+    """Documents that the classifier takes for good ones; it learns from the labels of documents that are still there.
+
+    A null text is scored as an empty one.
+    """
     net = quality.fit(docs, quality.learnable(table(spark, sf_dir, "labels")))
-    kept = quality.score(docs, net, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return kept.where("predicted = 1").select(*docs.columns)
+    return quality.score(whole_rows(docs), net, keep=("row",)).where("predicted = 1").select("row.*")
 
 
 def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that recur elsewhere; n_chars follows the text."""
-    return linededup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Documents without lines that recur elsewhere; n_chars follows the text. No row goes."""
+    shorter = linededup.dedup_lines(docs)
+    return shorter.select(*[F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates; of rows that are alike in id and text, one."""
-    groups = simhash.near_duplicates(docs)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each group of near duplicates, that of the smallest id (a null id only where there is no other).
+
+    Of rows that are alike in id and text one stays. Null and empty texts are one group.
+    """
+    h = F.xxhash64("doc_id", "text")
+    rows = whole_rows(docs).select("row", "text", h.alias("h"), F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), h.alias("h")).alias("order"))
+    groups = simhash.near_duplicates(rows, id_col="order")
+    first = groups.where("doc_id = component_id").select(F.col("doc_id.h").alias("h")).distinct()
+    return rows.select("row", "h").join(first, "h").groupBy("h").agg(F.first("row").alias("row")).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
