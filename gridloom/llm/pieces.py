@@ -43,8 +43,11 @@ class Pieces:
         self.ids = {n: i for i, n in enumerate(self.text) if n}
         self.byte_id = {int(n[3:5], 16): i for i, n in enumerate(names) if model.is_byte(i)}
         self.id_byte = {i: b for b, i in self.byte_id.items()}
-        self.dropped = {i for i in range(len(names)) if model.is_control(i)}
         self.unknown = model.unk_id()
+        # what each id reads as, one after another
+        read = [bytes([self.id_byte[i]]) if i in self.id_byte else b"" if model.is_control(i) else " ⁇ ".encode() if i == self.unknown else n.encode() for i, n in enumerate(self.text)]
+        self.raw, self.raw_sizes = np.frombuffer(b"".join(read), np.uint8), np.array([len(x) for x in read], np.int64)
+        self.raw_starts = np.cumsum(self.raw_sizes) - self.raw_sizes
         self.rank = {n: i for i, n in enumerate(sorted(self.ids, key=lambda n: -model.get_score(self.ids[n])))}
         self.prefix = model.encode_as_pieces("a")[0].startswith(SPACE)  # whether a space is put before a text
         self.longest = max(map(len, self.ids))
@@ -236,15 +239,10 @@ class Pieces:
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of ids: pieces joined, runs of byte pieces read as UTF-8, spaces back, the added one gone."""
-        out: list[bytes] = []
-        for i in ids if isinstance(ids, list) else ids.tolist():
-            if i in self.id_byte:
-                out.append(bytes([self.id_byte[i]]))
-            elif i == self.unknown:
-                out.append(" ⁇ ".encode())
-            elif i not in self.dropped:
-                out.append(self.text[i].encode())
-        text = b"".join(out).decode("utf-8", "replace").replace(SPACE, " ")
+        at = np.asarray(ids, np.int64)
+        n = self.raw_sizes[at]
+        raw = self.raw[np.repeat(self.raw_starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        text = raw.tobytes().decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
