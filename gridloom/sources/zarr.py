@@ -7,10 +7,13 @@ read on the driver only; each task opens the chunks of its own partition, at mos
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import json
+import math
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,6 +78,8 @@ def decode(raw: bytes, codecs: list[dict]) -> bytes:
             raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
         elif c["name"] == "gzip":
             raw = gzip.decompress(raw)
+        elif c["name"] == "blosc":
+            raw = blosc_decode(raw)
         elif c["name"] == "crc32c":
             if crc32c(raw[:-4]) != int.from_bytes(raw[-4:], "little"):
                 raise ValueError("checksum of a chunk doesn't hold")
@@ -84,6 +89,43 @@ def decode(raw: bytes, codecs: list[dict]) -> bytes:
     return raw
 
 
+def blosc_decode(raw: bytes) -> bytes:
+    """A blosc frame of format 1 or 2: LZ4, zstd, zlib or copied blocks, with byte shuffle.
+
+    Header: version, codec version, flags, type size, then the sizes of data, a block and the frame. Blocks
+    have offsets of their own; each holds streams (one for each byte of the type if split) after their sizes.
+    """
+    flags, size = raw[2], raw[3]
+    total, block, framed = struct.unpack_from("<III", raw, 4)
+    if raw[0] not in (1, 2) or framed > len(raw):
+        raise ValueError("a frame's header doesn't hold")
+    if flags & 0x02:
+        return raw[16 : 16 + total]
+    if flags & 0x04:
+        raise ValueError("bit shuffle is not known")
+    kind, out = flags >> 5, []
+    inner = {1: lambda x, n: pa.decompress(x, n, codec="lz4_raw", asbytes=True), 3: lambda x, _: zlib.decompress(x), 4: lambda x, _: decode(x, [{"name": "zstd"}])}
+    if kind not in inner:
+        raise ValueError(f"inner codec {kind} of a frame is not known")
+    for i, at in enumerate(struct.unpack_from(f"<{-(-total // block)}I", raw, 16) if total else ()):
+        want = min(block, total - i * block)
+        whole = want == block
+        streams = size if not flags & 0x10 and whole and size <= 16 and want // size >= 128 else 1
+        parts = []
+        for _ in range(streams):
+            n = struct.unpack_from("<i", raw, at)[0]
+            body, at = raw[at + 4 : at + 4 + n], at + 4 + n
+            parts.append(body if n == want // streams else inner[kind](body, want // streams))
+        a = np.frombuffer(b"".join(parts), np.uint8)
+        if len(a) != want:
+            raise ValueError("a block of a frame is cut short")
+        if flags & 0x01 and size > 1:
+            n = want // size * size
+            a = np.concatenate([a[:n].reshape(size, -1).T.ravel(), a[n:]])
+        out.append(a.tobytes())
+    return b"".join(out)
+
+
 def shard_of(chunks: list[bytes | None]) -> bytes:
     """Chunks one after another with an index of (offset, size) and its checksum behind them."""
     at, index, body = 0, b"", b""
@@ -113,6 +155,17 @@ def array_meta(shape: list[int], chunk: list[int], dtype: str, fill: float, code
     }
 
 
+def grid_keys(spark: SparkSession, shapes: list[tuple[int, int]], n_time: int, per: int, cell: int) -> DataFrame:
+    """level, s, row, col of every chunk of the given levels, from ranges: nothing of it is on the driver."""
+    out = None
+    for k, (h, w) in enumerate(shapes):
+        rows, cols, slots = -(-h // cell), -(-w // cell), -(-n_time // per)
+        part = lambda e: F.expr(e).cast("int")
+        level = spark.range(slots * rows * cols).select(F.lit(k).alias("level"), part(f"id div {rows * cols}").alias("s"), part(f"id div {cols} % {rows}").alias("row"), part(f"id % {cols}").alias("col"))
+        out = level if out is None else out.unionByName(level)
+    return out
+
+
 _OBJECTS = "level int, key string, size long, md5 string"
 
 
@@ -130,10 +183,9 @@ def write_levels(pixels: DataFrame, path: str, times: list[int], bands: list[str
     for _ in range(levels):
         shapes.append((half(shapes[-1][0]), half(shapes[-1][1])))
     n_time, kind = len(times), np.dtype(DTYPES[dtype])
-    first = min((t for t in range(n_time)), default=0)
-    grid = [(k, s, r, c) for k, (h, w) in enumerate(shapes) for s in range(first // per, -(-n_time // per)) for r in range(-(-h // cell)) for c in range(-(-w // cell))]
-    steps = {r.t for r in pixels.select("t").distinct().collect()} if append else None
-    keys = spark.createDataFrame([g for g in grid if steps is None or g[1] in steps], "level int, s int, row int, col int")
+    steps = [r.t for r in pixels.select("t").distinct().collect()] if append else None  # a bounded number of new steps
+    keys = grid_keys(spark, shapes, n_time, per, cell)
+    keys = keys if steps is None else keys.where(F.col("s").isin(steps))
     cells = pixels.select("level", F.expr(f"t div {per}").cast("int").alias("s"), F.expr(f"y div {cell}").cast("int").alias("row"), F.expr(f"x div {cell}").cast("int").alias("col"), F.struct("t", "b", "y", "x", "v").alias("p"))
     at = ["level", "s", "row", "col"]
 
@@ -158,7 +210,8 @@ def write_levels(pixels: DataFrame, path: str, times: list[int], bands: list[str
         return pa.table({"level": pa.array([level], pa.int32()), "key": [name], "size": pa.array([len(raw)], pa.int64()), "md5": [hashlib.md5(raw).hexdigest()]})  # noqa: S324
 
     objects = keys.groupBy(*at).cogroup(cells.groupBy(*at)).applyInArrow(write, _OBJECTS)
-    done = objects.collect()  # names and digests of the objects just written
+    listing = f"{path if '://' in path else f'file://{path}'}.objects"
+    objects.write.mode("overwrite").parquet(listing)  # names and digests of the objects just written, beside the store
     store, root = opened(path)
 
     def put(key: str, meta: dict) -> None:
@@ -170,13 +223,15 @@ def write_levels(pixels: DataFrame, path: str, times: list[int], bands: list[str
         put(f"{k}/data/zarr.json", array_meta([n_time, len(bands), h, w], [1, len(bands), cell, cell], dtype, nodata or 0, codec, ["time", "band", "y", "x"], shard))
         put(f"{k}/zarr.json", {"zarr_format": 3, "node_type": "group", "attributes": {"level": k}})
     put("zarr.json", {"zarr_format": 3, "node_type": "group", "attributes": {"raster": {"times": times, "bands": bands, "nodata": nodata, "levels": [{"path": str(k), "height": h, "width": w} for k, (h, w) in enumerate(shapes)]}}})
-    return spark.createDataFrame([tuple(r) for r in done], _OBJECTS)
+    return spark.read.schema(_OBJECTS).parquet(listing)
 
 
 class Cells(InputPartition):
-    def __init__(self, chunks: list[tuple[int, int, int]]) -> None:
-        super().__init__(chunks)
-        self.chunks = chunks
+    """A run of the chunks of a grid of rows x columns x steps, as numbers; each axis has a list of its own."""
+
+    def __init__(self, start: int, stop: int) -> None:
+        super().__init__((start, stop))
+        self.start, self.stop = start, stop
 
 
 class Reader(DataSourceReader):
@@ -214,14 +269,21 @@ class Reader(DataSourceReader):
                     self.sets[axis] = set(f.value) & self.sets.get(axis, set(f.value))
             yield f
 
-    def chunks(self) -> list[tuple[int, int, int]]:
+    def axes(self) -> tuple[list[int], list[int], list[int]]:
+        """Rows, columns and steps of chunks that predicates leave."""
         cell_h, cell_w = self._inner()[2:]
         some = lambda axis, size: sorted({i // size for i in range(self.bounds[axis][0], self.bounds[axis][1] + 1) if axis not in self.sets or i in self.sets[axis]})
-        return [(t, r, c) for r in some("y", cell_h) for c in some("x", cell_w) for t in some("t", 1)]
+        return some("y", cell_h), some("x", cell_w), some("t", 1)
+
+    def chunks(self, part: Cells | None = None) -> list[tuple[int, int, int]]:
+        """Step, row and column of each chunk of a partition (of all)."""
+        rows, cols, steps = self.axes()
+        numbers = range(part.start, part.stop) if part else range(len(rows) * len(cols) * len(steps))
+        return [(steps[i % len(steps)], rows[i // len(steps) // len(cols)], cols[i // len(steps) % len(cols)]) for i in numbers]
 
     def partitions(self) -> list[Cells]:
-        all_ = self.chunks()
-        return [Cells(all_[i : i + self.per_task]) for i in range(0, len(all_), self.per_task)] or [Cells([])]
+        n = math.prod(map(len, self.axes()))
+        return [Cells(i, min(i + self.per_task, n)) for i in range(0, n, self.per_task)] or [Cells(0, 0)]
 
     def _sharding(self) -> dict | None:
         c = self.array["codecs"][0]
@@ -249,7 +311,7 @@ class Reader(DataSourceReader):
         _, n_band, h, w = self.array["shape"]
         _, _, ch, cw = self._inner()
         kind, indexes = np.dtype(DTYPES[self.array["data_type"]]), {}
-        for t, row, col in partition.chunks:
+        for t, row, col in self.chunks(partition):
             raw = self._raw(store, root, t, row, col, indexes)
             a = np.full((n_band, ch, cw), self.array["fill_value"], kind) if raw is None else np.frombuffer(raw, kind).reshape(n_band, ch, cw)
             a = a[:, : h - row * ch, : w - col * cw]  # cut to the extent
@@ -328,3 +390,110 @@ def append_steps(pixels: DataFrame, path: str, times: list[int], cell: int = 8,
         raise ValueError("new times must be later than those of the store, and rise")
     base = about["levels"][0]
     return write_levels(pixels, path, about["times"] + times, about["bands"], base["height"], base["width"], len(about["levels"]) - 1, cell=cell, codec=codec, nodata=about["nodata"], append=True)
+
+
+def node_metadata(path: str) -> dict[str, dict]:
+    """zarr.json of every node of a store by its path, the root's as ""; each is read once."""
+    store, root = opened(path)
+    found = {"": read_json(store, f"{root}/zarr.json")}
+    if found[""] is None:
+        raise FileNotFoundError(f"{path} holds no store")
+    for level in found[""]["attributes"]["raster"]["levels"]:
+        for name in (level["path"], f"{level['path']}/data", f"{level['path']}/mask"):
+            if (meta := read_json(store, f"{root}/{name}/zarr.json")) is not None:
+                found[name] = meta
+    return found
+
+
+def put_json(path: str, key: str, meta: dict) -> None:
+    """Write a JSON object under another name, then move it into place."""
+    store, root = opened(path)
+    with store.open_output_stream(f"{root}/{key}.new") as out:
+        out.write(json.dumps(meta, indent=1).encode())
+    store.move(f"{root}/{key}.new", f"{root}/{key}")
+
+
+def consolidate(path: str) -> int:
+    """Fold the metadata of all nodes into the root's; returns their number."""
+    nodes = node_metadata(path)
+    root = nodes.pop("")
+    put_json(path, "zarr.json", root | {"consolidated_metadata": {"kind": "inline", "must_understand": False, "metadata": dict(sorted(nodes.items()))}})
+    return len(nodes)
+
+
+def stale_metadata(path: str) -> list[tuple[str, str]]:
+    """Nodes whose consolidated metadata is missing on disk or not what is there: (path, problem)."""
+    nodes = node_metadata(path)
+    listed = (nodes[""].get("consolidated_metadata") or {}).get("metadata", {})
+    return [(k, "missing" if k not in nodes else "stale") for k, v in sorted(listed.items()) if nodes.get(k) != v]
+
+
+def set_bands(path: str, roles: dict[str, str]) -> list[str]:
+    """Set roles of bands by name in the root's metadata, chunks stay as they are; returns the bands' names."""
+    store, root = opened(path)
+    meta = read_json(store, f"{root}/zarr.json")
+    about = meta["attributes"]["raster"]
+    if unknown := set(roles) - set(about["bands"]):
+        raise ValueError(f"no bands {sorted(unknown)}")
+    about["roles"] = {**about.get("roles", {}), **roles}
+    put_json(path, "zarr.json", meta)
+    return about["bands"]
+
+
+def publish_local(staged: str, final: str) -> None:
+    """Move a complete store into place in one step; what stands there already is refused."""
+    store, root = opened(final)
+    _, source = opened(staged)
+    if store.get_file_info(root).type != fs.FileType.NotFound:
+        raise FileExistsError(f"{final} is there already")
+    describe(staged)
+    store.move(source, root)
+
+
+def foreign_levels(attributes: dict) -> list[tuple[str, list[str]]]:
+    """Paths of another profile's levels, finest first, with a note on each assumption.
+
+    `multiscales` is a list with `datasets` (path, and pixels_per_tile or level) or an object with `layout` (asset).
+    """
+    m = attributes.get("multiscales")
+    if isinstance(m, list) and m and isinstance(m[0].get("datasets"), list):
+        sets = m[0]["datasets"]
+        known = all(isinstance(d.get("level"), int) for d in sets)
+        ordered = sorted(sets, key=lambda d: -d["level"]) if known else sets
+        return [(str(d["path"]), [] if known else ["levels are taken in the order of the list"]) for d in ordered]
+    if isinstance(m, dict) and isinstance(m.get("layout"), list) and m["layout"]:
+        method = m.get("resampling_method")
+        notes = [] if method == "average" else ["overviews are not declared as averages"]
+        return [(str(e["asset"]), notes if i else []) for i, e in enumerate(m["layout"])]
+    raise ValueError("no multiscales that are known")
+
+
+def fill_value(declared: object, fill: float, dtype: str) -> float | None:
+    """What marks a missing pixel: a declared number, "nan" or base64 of little-endian bytes, else a fill that is not zero; None for none."""
+    value: float | None = None
+    if isinstance(declared, int | float) and not isinstance(declared, bool):
+        value = float(declared)
+    elif isinstance(declared, str):
+        if declared.lower() == "nan":
+            return None
+        kind = np.dtype(DTYPES.get(dtype, dtype)).kind
+        try:
+            raw = base64.b64decode(declared, validate=True)
+        except ValueError:
+            raw = b""
+        if len(raw) in (4, 8):
+            value = float(np.frombuffer(raw, f"<{kind}{len(raw)}")[0])
+    value = value if value is not None else float(fill) if fill != 0 else None
+    return None if value is None or math.isnan(value) else value
+
+
+def labelled(pixels: DataFrame, about: dict, physical: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """Pixels with time, band, value and valid in place of numbers; `physical` has scale and offset of bands."""
+    times, bands = about["times"], about["bands"]
+    scale = [(physical or {}).get(b, (1.0, 0.0)) for b in bands]
+    at = lambda values, i: F.array(*[F.lit(v) for v in values])[i]
+    stored = F.col("v").cast("double")
+    missing = F.isnan(stored) if about["nodata"] is None else (stored == about["nodata"]) | F.isnan(stored)
+    value = stored * at([float(s) for s, _ in scale], F.col("b")) + at([float(o) for _, o in scale], F.col("b"))
+    when = F.timestamp_millis(at([int(t) for t in times], F.col("t")).cast("long"))
+    return pixels.select(when.alias("time"), at(bands, F.col("b")).alias("band"), "y", "x", F.when(~missing, value).alias("value"), (~missing).alias("valid"))
