@@ -450,22 +450,23 @@ def publish_local(staged: str, final: str) -> None:
     store.move(source, root)
 
 
-def foreign_levels(attributes: dict) -> list[tuple[str, list[str]]]:
-    """Paths of another profile's levels, finest first, with a note on each assumption.
+def foreign_levels(attributes: dict, pixel_sizes: dict[str, float]) -> list[tuple[str, list[str]]]:
+    """Paths of another profile's levels, finest first by the given sizes of their pixels, with a note on each assumption.
 
-    `multiscales` is a list with `datasets` (path, and pixels_per_tile or level) or an object with `layout` (asset).
+    `multiscales` (an object, or a list of one) has `layout` of assets or `datasets` of paths.
     """
     m = attributes.get("multiscales")
-    if isinstance(m, list) and m and isinstance(m[0].get("datasets"), list):
-        sets = m[0]["datasets"]
-        known = all(isinstance(d.get("level"), int) for d in sets)
-        ordered = sorted(sets, key=lambda d: -d["level"]) if known else sets
-        return [(str(d["path"]), [] if known else ["levels are taken in the order of the list"]) for d in ordered]
-    if isinstance(m, dict) and isinstance(m.get("layout"), list) and m["layout"]:
-        method = m.get("resampling_method")
-        notes = [] if method == "average" else ["overviews are not declared as averages"]
-        return [(str(e["asset"]), notes if i else []) for i, e in enumerate(m["layout"])]
-    raise ValueError("no multiscales that are known")
+    m = m[0] if isinstance(m, list) and m else m
+    name, entries = ("asset", m.get("layout")) if isinstance(m, dict) and "layout" in m else ("path", m.get("datasets") if isinstance(m, dict) else None)
+    if not entries or any(not isinstance(e, dict) or not isinstance(e.get(name), str) for e in entries):
+        raise ValueError("no multiscales whose levels have paths")
+    paths = [e[name] for e in entries]
+    if len({pixel_sizes[p] for p in paths}) < len(paths):
+        raise ValueError("two levels have pixels of the same size")
+    ordered = sorted(paths, key=pixel_sizes.__getitem__)
+    notes = ["overviews are the writer's own resampling"] if len(paths) > 1 else []
+    notes += [] if ordered == paths else ["levels are not listed finest first"]
+    return [(p, notes if i == 0 else []) for i, p in enumerate(ordered)]
 
 
 def fill_value(declared: object, fill: float, dtype: str) -> float | None:

@@ -76,10 +76,13 @@ def test_labelled(spark, tmp_path):
 
 
 def test_foreign():
-    assert zarr.foreign_levels({"multiscales": [{"datasets": [{"path": "0", "level": 0}, {"path": "1", "level": 1}]}]}) == [("1", []), ("0", [])]
-    assert [p for p, _ in zarr.foreign_levels({"multiscales": {"layout": [{"asset": "0"}, {"asset": "1"}]}})] == ["0", "1"]
-    with pytest.raises(ValueError, match="multiscales"):
-        zarr.foreign_levels({})
+    listed = {"multiscales": [{"datasets": [{"path": "0"}, {"path": "1"}]}]}
+    assert [p for p, _ in zarr.foreign_levels(listed, {"0": 20.0, "1": 10.0})] == ["1", "0"]
+    assert "levels are not listed finest first" in zarr.foreign_levels(listed, {"0": 20.0, "1": 10.0})[0][1]
+    assert [p for p, _ in zarr.foreign_levels({"multiscales": {"layout": [{"asset": "0"}, {"asset": "1"}]}}, {"0": 10.0, "1": 20.0})] == ["0", "1"]
+    for bad, sizes in (({}, {}), (listed, {"0": 1.0, "1": 1.0})):
+        with pytest.raises(ValueError, match="levels"):
+            zarr.foreign_levels(bad, sizes)
     assert zarr.fill_value(base64.b64encode(struct.pack("<f", -9999)).decode(), 0, "float32") == -9999
     assert zarr.fill_value("nan", 0, "float32") is None and zarr.fill_value(None, 0, "uint16") is None and zarr.fill_value(None, 7, "uint16") == 7
 
