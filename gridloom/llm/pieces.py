@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import operator
 import re
 import zlib
 from collections.abc import Iterator
@@ -223,7 +224,9 @@ class Pieces:
             units = self.cut(t)
             at = list(map(seen.get, units))
             if None in at:
-                at = [seen.setdefault(u, len(seen)) for u in units]
+                for u in itertools.compress(units, map(operator.is_, at, itertools.repeat(None))):
+                    seen.setdefault(u, len(seen))
+                at = list(map(seen.get, units))
             places.append(at)
         if len(seen) > before:
             new, n = self.units(list(itertools.islice(seen, before, None)))
