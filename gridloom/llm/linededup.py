@@ -64,7 +64,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = held.where(F.col("text").isNotNull()).select("id", "key", F.transform(F.split("text", "\n"), templates).alias("ts"))
     each = lines.select("id", F.explode(F.array_distinct(F.flatten("ts"))).alias("t"))
     recurring = each.groupBy("t").agg(F.count("*").alias("docs"), F.min("id").alias("first")).where(F.col("docs") >= min_docs).select("t", "first")
-    placed = lines.select("id", "key", F.posexplode("ts").alias("pos", "l")).select("id", "key", "pos", F.explode("l").alias("t"))
+    # outer: a plain one brings a filter on the array, for which the templates would be computed again
+    placed = lines.select("id", "key", F.posexplode_outer("ts").alias("pos", "l")).select("id", "key", "pos", F.explode("l").alias("t"))
     hit = placed.join(recurring, "t").where(F.col("first").isNotNull() & F.coalesce(F.col("id") != F.col("first"), F.lit(True)))
     drop = hit.groupBy("key").agg(F.collect_set("pos").alias("drop"))
     joined = held.select("row", "key").join(drop, "key", "left")
