@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -67,40 +68,63 @@ def packed(lengths: np.ndarray, length: int = SEQUENCE) -> list[tuple[int, int,
     """Pieces (document, start, tokens, sequence, offset) of documents of these lengths.
 
     Documents come in descending order of length. Each goes to the sequence of lowest cost so far that has
-    room for it; if none has room for all of it, it is cut and the rest goes on the same way. Sequences
-    together hold exactly the tokens there are.
+    room for it, out of all sequences; if none has room for all of it, the one with the most room is filled
+    and the rest goes on the same way. Sequences together hold exactly the tokens there are.
     """
     room = capacities(int(lengths.sum()), length)
     cost = [0.0 if n == length else 1e15 + s for s, n in enumerate(room)]  # the short ones of the rest come last
     used, out = [0] * len(room), []
-    heap = [(c, s) for s, c in enumerate(cost)]
-
-    def put(doc: int, start: int, n: int, s: int) -> None:
-        out.append((doc, start, n, s, used[s]))
-        used[s] += n
-        cost[s] += LINEAR * n + QUADRATIC * n * n
-        if used[s] < room[s]:
-            heapq.heappush(heap, (cost[s], s))
-
+    heaps: list[list[tuple[float, int]]] = [[] for _ in range(length + 1)]  # open sequences by remaining room
+    none, width = (math.inf, -1), 1 << length.bit_length()
+    least = [none] * (2 * width)  # a tree over rooms: leaves hold the cheapest of each heap, nodes that of their leaves
+    for s, n in enumerate(room):
+        heapq.heappush(heaps[n], (cost[s], s))
+
+    def update(n: int) -> None:
+        k = width + n
+        least[k] = heaps[n][0] if heaps[n] else none
+        while k > 1:
+            k >>= 1
+            x = min(least[2 * k], least[2 * k + 1])
+            if x == least[k]:
+                break
+            least[k] = x
+
+    def cheapest(n: int) -> tuple[float, int]:
+        """The sequence of lowest cost among those with room for n tokens."""
+        k = width + n
+        x = least[k]
+        while k > 1:
+            if not k & 1 and least[k + 1] < x:
+                x = least[k + 1]
+            k >>= 1
+        return x
+
+    def roomiest() -> tuple[float, int]:
+        k = 1
+        while k < width:
+            k = 2 * k + (least[2 * k + 1] != none)
+        return least[k]
+
+    for n in set(room):
+        update(n)
     for doc in np.argsort(-lengths, kind="stable").tolist():
         start, left = 0, int(lengths[doc])
         while left:
-            passed, found = [], None
-            want = min(left, length)
-            while heap and len(passed) < 8:  # the cheapest few; beyond them it is cut, and no search is longer
-                x = heapq.heappop(heap)
-                if room[x[1]] - used[x[1]] >= want:
-                    found = x[1]
-                    break
-                passed.append(x)
-            if found is None:
-                x = max(passed, key=lambda y: (room[y[1]] - used[y[1]], -y[0]))
-                passed.remove(x)
-                found, want = x[1], room[x[1]] - used[x[1]]
-            for x in passed:
-                heapq.heappush(heap, x)
-            put(doc, start, want, found)
-            start, left = start + want, left - want
+            n = min(left, length)
+            x = cheapest(n)
+            s = (x if x != none else roomiest())[1]
+            before = room[s] - used[s]
+            n = min(n, before)
+            heapq.heappop(heaps[before])
+            out.append((doc, start, n, s, used[s]))
+            used[s] += n
+            cost[s] += LINEAR * n + QUADRATIC * n * n
+            update(before)
+            if n < before:
+                heapq.heappush(heaps[before - n], (cost[s], s))
+                update(before - n)
+            start, left = start + n, left - n
     return out
 
 

@@ -56,6 +56,19 @@ def test_packing_balances_cost():
     assert np.std(full) / np.mean(full) < 0.25
 
 
+def test_packing_cuts_only_where_no_sequence_has_room():
+    rng = np.random.default_rng(1)
+    for lengths in (rng.integers(1, 900, 1500), rng.geometric(0.004, 4000), np.array([3000, 1024, 1, 1]), np.array([5]), np.array([], np.int64)):
+        room = packing.capacities(int(lengths.sum()))
+        cost, left = [0.0 if n == 1024 else 1e15 + s for s, n in enumerate(room)], dict(enumerate(lengths.tolist()))
+        for doc, start, n, s, _ in packing.packed(lengths):
+            want = min(left[doc], 1024)
+            fits = [(c, k) for k, c in enumerate(cost) if room[k] >= want]
+            assert start == lengths[doc] - left[doc] and (s, n) == (min(fits)[1], want) if fits else n == room[s] == max(room)
+            room[s], cost[s], left[doc] = room[s] - n, cost[s] + packing.LINEAR * n + packing.QUADRATIC * n * n, left[doc] - n
+        assert not any(room) and not any(left.values())
+
+
 def test_encoder_is_the_library(sf_dir):
     e = packing.Encoder()
     for t in ("", " a  b\t\n", "é漢🙂", "<|endoftext|>x", "can't WON'T 12345", " x y", "ª²³ ǅ"):
