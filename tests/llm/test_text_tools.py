@@ -131,6 +131,14 @@ def test_line_dedup_templates(spark):
     assert got[1][1] == 0 and got[2] == ("short line", 1) and got[3][1] == 0 and got[4] == ("", 1) and got[5][1] == 0
 
 
+def test_line_dedup_short_lines(spark):
+    rows = [(i, f"Les.\n\n \t \n{10 + i}\nPage {i} of 9\nOnly {'abc'[i - 1]}", None) for i in (1, 2, 3)]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(odd_docs(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "\n \t \n12\nOnly b", 3: "\n \t \n13\nOnly c"}
+    twice = {r.doc_id: r["__dropped"] for r in linededup.dedup_lines(odd_docs(spark, rows[:2])).collect()}
+    assert twice == {1: 0, 2: 0}
+
+
 def test_line_dedup_odd_rows(spark):
     docs = odd_docs(spark)
     out = linededup.dedup_lines(docs)
