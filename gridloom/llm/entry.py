@@ -42,8 +42,8 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # as its SQL has it, lines of fewer than five tokens stay here; the operator alone counts them too
-    lines = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_tokens=5)
+    # as its SQL has it, lines of fewer than five tokens stay here and those of fewer than 13 have no open template
+    lines = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_tokens=5, min_open=13)
     return lines.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 

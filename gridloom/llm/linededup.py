@@ -3,8 +3,9 @@
 A line's path in the tree is its number of tokens and its leading tokens; tokens with a digit are variable
 fields from the start. A leaf's templates generalise further: the tokens behind the leading ones are cut into
 five runs of like length, and each template leaves one run open, so that two lines of one template are the
-same in four fifths of these tokens at least. A template that occurs in several documents is recurring. Lines
-too short for that have the template of all their tokens.
+same in four fifths of these tokens at least. A template that occurs in several documents is recurring. In lines
+of fewer tokens only the first one leads, and the template of all tokens is there too; still shorter ones have
+that one alone.
 """
 
 from __future__ import annotations
@@ -14,11 +15,12 @@ from pyspark.sql import functions as F
 
 LEADING = 3
 RUNS = 5
-#: Lines of fewer tokens recur by chance more easily: they need MIN_DOCS_SHORT documents.
+#: Lines of fewer tokens have no template with an open run, which would leave too little to decide.
 SHORT = 5
-#: Shorter lines have no template with an open run: it would leave a token alone to decide.
+#: Shorter lines have one leading token.
 MIN_OPEN = LEADING + 2 * RUNS
-MIN_DOCS, MIN_DOCS_SHORT = 2, 3
+#: What recurs by chance more easily, the templates of lines below SHORT and the open ones below MIN_OPEN, needs MIN_DOCS_WEAK.
+MIN_DOCS, MIN_DOCS_WEAK = 2, 3
 VARIABLE = "[^ ]*[0-9][^ ]*"
 
 
@@ -28,50 +30,52 @@ def masked(line: Column) -> Column:
     return F.when(trimmed.rlike("[0-9]"), F.regexp_replace(trimmed, VARIABLE, "<*>")).otherwise(trimmed)
 
 
-def templates(line: Column, min_tokens: int = 1) -> Column:
+def templates(line: Column, min_tokens: int = 1, min_open: int = SHORT) -> Column:
     """Hashes of the templates of a line: the tree path and all runs but one, for each run.
 
-    A line of fewer than MIN_OPEN tokens has one template, all its tokens; one of fewer than min_tokens has
-    none. Lines that are the same in full share all their templates, so they need no template of their own.
-    The lowest bit of a hash is set for templates of lines of fewer than SHORT tokens only. Such a line keeps
-    its variable fields if it has nothing else: numbers alone are not alike.
+    A line of fewer than MIN_OPEN tokens has the template of all its tokens, and open ones behind its first
+    token if it has min_open tokens; one of fewer than min_tokens has none. Longer lines that are the same in
+    full share all their templates, so they need no template of their own. The lowest bit of a hash is set
+    for templates that need MIN_DOCS_WEAK documents. A line of fewer than SHORT tokens keeps its variable
+    fields if it has nothing else: numbers alone are not alike.
     """
 
     def of(tokens: Column) -> Column:
         n = F.size(tokens)
-        lead = F.slice(tokens, 1, LEADING)
-        ends = [F.lit(LEADING) + F.floor((n - LEADING) * i / F.lit(RUNS)).cast("int") for i in range(RUNS + 1)]
+        leading = F.when(n < MIN_OPEN, 1).otherwise(LEADING)
+        ends = [leading + F.floor((n - leading) * i / F.lit(RUNS)).cast("int") for i in range(RUNS + 1)]
         part = lambda a, b: F.xxhash64(F.slice(tokens, a + 1, b - a))
         hashes = [part(ends[i], ends[i + 1]) for i in range(RUNS)]
         opened = F.transform(
-            F.array(F.struct(n.alias("n"), F.xxhash64(lead).alias("lead"), F.array(*hashes).alias("runs"))),
+            F.array(F.struct(n.alias("n"), F.xxhash64(F.slice(tokens, 1, leading)).alias("lead"), F.array(*hashes).alias("runs"))),
             lambda s: F.array(*[F.xxhash64(F.lit(i), s["n"], s["lead"], *[s["runs"][j] for j in range(RUNS) if j != i]) for i in range(RUNS)]),
         )[0]
-        bare = (n < SHORT) & F.forall(tokens, lambda w: w == "<*>")
-        whole = F.array(F.when(bare, F.xxhash64(F.lit(-2), F.trim(line))).otherwise(F.xxhash64(F.lit(-1), n, tokens)))
+        firm, weak = (lambda t: t.bitwiseAND(F.lit(-2))), (lambda t: t.bitwiseOR(F.lit(1)))
+        whole = F.xxhash64(F.lit(-1), n, tokens)
+        short = F.when(F.forall(tokens, lambda w: w == "<*>"), F.xxhash64(F.lit(-2), F.trim(line))).otherwise(whole)
         none = F.array().cast("array<bigint>")
         blank = (n < SHORT) & ~F.exists(tokens, lambda w: w.rlike(r"\S"))
-        found = F.when((n < min_tokens) | blank, none).when(n < MIN_OPEN, whole).otherwise(opened)
-        return F.transform(found, lambda t: t.bitwiseAND(F.lit(-2)).bitwiseOR((n < SHORT).cast("bigint")))
+        found = F.when((n < min_tokens) | blank, none).when(n < SHORT, F.array(weak(short))).when(n < min(min_open, MIN_OPEN), F.array(firm(whole)))
+        return found.when(n < MIN_OPEN, F.concat(F.array(firm(whole)), F.transform(opened, weak))).otherwise(F.transform(opened, firm))
 
     return F.transform(F.array(F.array_remove(F.split(masked(line), " "), "")), of)[0]
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_docs_short: int = MIN_DOCS_SHORT, min_tokens: int = 1) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_docs_weak: int = MIN_DOCS_WEAK, min_tokens: int = 1, min_open: int = SHORT) -> DataFrame:
     """All rows and columns of docs, text without recurring lines; and __lines, __dropped, their numbers.
 
-    A line goes if one of its templates occurs in min_docs rows or more (min_docs_short for lines of fewer than
-    SHORT tokens), unless the row has the smallest id of those: the first document keeps what recurs. A row
-    counts once for a template. Blank lines and lines of fewer than min_tokens tokens stay. A null text stays
-    null, with 0 lines; a row with a null id is never first; if all rows of a template have none, its lines
+    A line goes if one of its templates occurs in min_docs rows or more (min_docs_weak for weak ones, see
+    MIN_DOCS_WEAK), unless the row has the smallest id of those: the first document keeps what recurs. A row
+    counts once for a template. Blank lines and lines of fewer than min_tokens tokens stay; those below
+    min_open tokens have no open template. A null text stays null, with 0 lines; a row with a null id is never first; if all rows of a template have none, its lines
     stay. Rows of the same id and text get the same result. An empty
     table gives an empty table. Other columns come along, whatever their names; where they are called
     __lines or __dropped, the numbers get one more underscore in front.
     """
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
-    lines = held.where(F.col("text").isNotNull()).select("id", "key", F.transform(F.split("text", "\n"), lambda x: templates(x, min_tokens)).alias("ts"))
+    lines = held.where(F.col("text").isNotNull()).select("id", "key", F.transform(F.split("text", "\n"), lambda x: templates(x, min_tokens, min_open)).alias("ts"))
     each = lines.select("id", F.explode(F.array_distinct(F.flatten("ts"))).alias("t"))
-    recurring = each.groupBy("t").agg(F.count("*").alias("docs"), F.min("id").alias("first")).where(F.col("docs") >= F.when(F.col("t") % 2 == 0, min_docs).otherwise(max(min_docs, min_docs_short))).select("t", "first")
+    recurring = each.groupBy("t").agg(F.count("*").alias("docs"), F.min("id").alias("first")).where(F.col("docs") >= F.when(F.col("t") % 2 == 0, min_docs).otherwise(max(min_docs, min_docs_weak))).select("t", "first")
     # outer: a plain one brings a filter on the array, for which the templates would be computed again
     placed = lines.select("id", "key", F.posexplode_outer("ts").alias("pos", "l")).select("id", "key", "pos", F.explode("l").alias("t"))
     hit = placed.join(recurring, "t").where(F.col("first").isNotNull() & F.coalesce(F.col("id") != F.col("first"), F.lit(True)))

@@ -139,6 +139,13 @@ def test_line_dedup_short_lines(spark):
     assert twice == {1: 0, 2: 0}
 
 
+def test_line_dedup_open_field_in_lines_of_few_tokens(spark):
+    rows = [(i, f"Posted by {x} in category news\nFiled under {x} one two three four five six seven eight nine\nin {x} each word is {x} {x} {x}", None) for i, x in enumerate(("alice", "bob", "carol"), 1)]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(odd_docs(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: rows[1][1].split("\n")[2], 3: rows[2][1].split("\n")[2]}
+    assert {r["__dropped"] for r in linededup.dedup_lines(odd_docs(spark, rows[:2])).collect()} == {0}
+
+
 def test_line_dedup_odd_rows(spark):
     docs = odd_docs(spark)
     out = linededup.dedup_lines(docs)
