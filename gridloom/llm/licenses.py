@@ -1,7 +1,6 @@
 """License scan: a trained paragraph classifier over word n-grams, in DataFrame operations only.
 
-A paragraph is a line. Its features are the hashed one- and two-word sequences that hold a cue word; a sparse
-multinomial logistic regression, trained on the templates below and on sentences that mention licences
+A paragraph is a line. Its features are its hashed one-, two- and three-word sequences; a sparse multinomial logistic regression, trained on the templates below and on sentences that mention licences
 without granting one, gives a probability for each family. A temperature, fitted on the variants kept from
 training, and the least probability at which those still come out right make the calibrated unknown class: a
 paragraph below it is unknown. The predicted family is confirmed if the paragraph holds four fifths of the
@@ -10,7 +9,6 @@ word pairs of one of the family's templates.
 
 from __future__ import annotations
 
-import functools
 import math
 import random
 import zlib
@@ -42,8 +40,6 @@ OTHERS = [
     "the software has a bug in version 2", "version 3 of the report was released today", "the apache are a people of the southwest", "mit is a university in cambridge", "he has permission to leave early", "terms of use may change",
     "copyright law is taught in the second year", "the foundation gives free meals", "the album was released under a new name", "license plates are made of metal", "the gnu is a large antelope", "redistribution of wealth",
 ]
-#: A feature is looked at only if it holds one of these words; a paragraph without any is unknown.
-CUES = ["license", "licensed", "licence", "licenced", "copyright", "rights", "permission", "redistribution", "unencumbered", "cc0"]
 UNKNOWN = "unknown"
 BUCKETS = 2048
 CONFIRM = 0.8
@@ -55,7 +51,7 @@ def words_of(text: str) -> list[str]:
 
 
 def features_of(words: list[str]) -> list[int]:
-    """Buckets of the n-grams around cue words, once each: crc32 modulo BUCKETS."""
+    """Buckets of the n-grams of one to three words, once each: crc32 modulo BUCKETS."""
     near = [g for n in (1, 2, 3) for g in (words[i : i + n] for i in range(len(words) - n + 1))]
     return sorted({zlib.crc32(" ".join(g).encode()) % BUCKETS for g in near})
 
@@ -104,6 +100,16 @@ class Model:
     def logits(self, at: list[int]) -> list[float]:
         return [b + sum(w[j] for j in at) / math.sqrt(len(at) + 1) for w, b in zip(self.weights, self.bias, strict=True)]
 
+    def bound(self) -> tuple[list[float], float]:
+        """What each bucket can give a family over unknown at most, and what a paragraph needs at least, times its norm, not to be unknown.
+
+        Both are widened by more than the rounding of numbers(), so that no paragraph of a family is below.
+        """
+        *families, unknown = self.weights
+        gains = [max(0.0, *(w[j] - unknown[j] for w in families)) + 1e-4 * max(abs(w[j]) for w in self.weights) for j in range(BUCKETS)]
+        least = min(self.bias[-1] - b for b in self.bias[:-1])
+        return gains, least - 1e-4 * abs(least)
+
     @staticmethod
     def softmax(z: list[float]) -> list[float]:
         m = max(z)
@@ -135,15 +141,15 @@ def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
     columns are not looked at.
     """
     model = model or Model()
-    cue = lambda c: functools.reduce(Column.__or__, [F.contains(c, F.lit(w)) for w in CUES])
     text = F.col(text_col).cast("string")
-    split = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("paragraph"), x.alias("text"), F.lower(x).alias("low")))
-    some = docs.where(F.exists(F.array(F.lower(text)), cue))
-    lines = some.select(F.col(id_col).alias("doc_id"), F.explode(F.filter(split, lambda s: cue(s["low"]))).alias("p")).select("doc_id", "p.*")
-    words = once(lines, "w", F.filter(F.split(F.col("low"), WORD), lambda x: x != "")).where(F.arrays_overlap("w", F.array(*map(F.lit, CUES))))
+    split = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("paragraph"), x.alias("text")))
+    lines = docs.select(F.col(id_col).alias("doc_id"), F.explode(split).alias("p")).select("doc_id", "p.*")
+    words = once(lines, "w", F.filter(F.split(F.lower("text"), WORD), lambda x: x != ""))
     w = F.col("w")
     hashed = F.transform(F.concat(w, grams(w, 2), grams(w, 3)), lambda g: (F.crc32(g.cast("binary")) % BUCKETS).cast("int"))
-    features = once(words, "f", F.array_distinct(hashed))
+    gains, least_gain = model.bound()
+    gain = F.aggregate("f", F.lit(0.0), lambda acc, j: acc + F.element_at(numbers(gains), j + 1))
+    features = once(words, "f", F.array_distinct(hashed)).where(gain >= F.lit(least_gain) * F.sqrt(F.size("f") + F.lit(1.0)))
     norm = F.sqrt(F.size("f") + F.lit(1.0))
 
     def logit(weights: list[float], bias: float) -> Column:

@@ -108,3 +108,17 @@ def test_licences_unknown_and_odd(spark):
     docs = odd_docs(spark)
     assert sorted((r.doc_id, r.family) for r in licenses.scan(docs).collect()) == [(1, "mit"), (1, "mit"), (8, "all-rights-reserved")]
     assert licenses.scan(docs.limit(0)).collect() == [] and LONG
+
+
+def test_licences_of_every_line(spark, sf_dir):
+    model = licenses.Model()
+    lines = ["Released under CC BY 4.0.", "Available under Creative Commons Attribution-ShareAlike 4.0", "Free and unencumbered, released into the public domain", "under the terms of the GNU General Public", "Apache-2.0", ""]
+    docs = odd_docs(spark, [(1, "\n".join(lines), None)]).select("doc_id", "text").union(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    want = {}
+    for r in docs.collect():
+        for k, line in enumerate((r.text or "").split("\n")):
+            p = model.softmax([z / model.temperature for z in model.logits(licenses.features_of(licenses.words_of(line)))])
+            if (family := model.families[p.index(max(p))]) != licenses.UNKNOWN and max(p) >= model.least:
+                want[r.doc_id, k, line] = family
+    got = {(r.doc_id, r.paragraph, r.text): r.family for r in licenses.scan(docs, model).collect()}
+    assert got == want and got[1, 0, lines[0]] == "cc-by" and got[1, 1, lines[1]] == "cc-by-sa"
