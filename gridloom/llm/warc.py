@@ -21,12 +21,15 @@ DATE = "1970-01-01T00:00:00Z"
 #: Namespace of the identifiers derived here.
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:gridloom:warc")
 
-# Elements of HTML whose text is not shown, and elements that begin a new line.
-HIDDEN = "script|style|template|noscript|head"
+# Elements of HTML whose text is not shown, void elements of a head, and elements that begin a new line.
+HIDDEN = "script|style|template|noscript"
+IN_HEAD = "base|basefont|bgsound|link|meta"
 BREAKING = "address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul"
 
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>", re.S)
-_HIDDEN = re.compile(rf"<({HIDDEN})\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+# a head ends at its end tag, or before the first text or element that cannot stand in it
+_HEAD = rf"<head(?=[\s/>])[^>]*>(?:\s|<({HIDDEN}|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|</?(?:{IN_HEAD})(?=[\s/>])[^>]*>|</(?:{HIDDEN}|title)\s*>)*+(?:</head\s*>)?"
+_HIDDEN = re.compile(rf"{_HEAD}|<({HIDDEN})(?=[\s/>])[^>]*>.*?(?:</\2\s*>|\Z)", re.S | re.I)
 _BREAK = re.compile(rf"</?(?:{BREAKING})\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^>]*>")
 _SPACES = re.compile(r"[^\S\n]+")

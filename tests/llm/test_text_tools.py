@@ -119,6 +119,12 @@ def test_warc_text_and_odd_rows(spark, tmp_path):
     assert sum(len(warc.parsed(p.read_bytes())) for p in (tmp_path / "w").iterdir()) == 8
 
 
+def test_warc_text_behind_an_unclosed_head():
+    for page in ("<html><head><title>t</title><body><p>all the text</p>", "<head>\n<meta charset=utf-8><TITLE>a <script> b</TITLE><style>x</style>\n<p>all the text", "<head ><title>t</title>all the text", "<head/><link href=x></head >all the text", "<head-x>all</head-x> the text<script >x</script>"):
+        assert warc.plain_text(page) == "all the text"
+    assert warc.plain_text("<script-x>a</script-x><header>b</header><head><title>t") == "a\nb"
+
+
 def test_line_dedup_sql(spark, sf_dir, duck):
     same(run("op8_line_dedup", spark, sf_dir), duck, entry.ORACLE_SQL["op8_line_dedup"])
 
