@@ -3,7 +3,8 @@
 Each vector is rounded to int8 with one scale of its own. A tile's int8 products give every inner product up to
 an error that the two rounding errors bound. A pair stays if its upper bound reaches the k-th best lower bound of
 its query; only these pairs are computed again from the original doubles, and heaps keep the best of them.
-Nothing that could be among the k best is lost, so recall is 1 in exact arithmetic.
+Nothing that could be among the k best is lost, so recall is 1 in exact arithmetic. A product beyond the doubles
+is infinite, and ranks so.
 """
 
 from __future__ import annotations
@@ -18,15 +19,18 @@ from gridloom.llm import vector_tiles as tiles
 PAIRS_AT_ONCE = 1 << 16
 #: int8 products are summed as float32, which is exact below 2**24: so many dimensions at a time.
 EXACT_DIMS = (1 << 24) // (127 * 127)
+#: Products below this one have finite bounds.
+OVERFLOW = 1e300
 
 
 def rounded(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """int8 codes, their scales, the norms of the rounded vectors and of the rounding errors."""
     scale = np.abs(m).max(axis=1) / 127.0
     scale[scale == 0] = 1.0
-    codes = np.rint(m / scale[:, None]).astype(np.int8)
-    near = codes * scale[:, None]
-    return codes, scale, np.sqrt((near**2).sum(axis=1)), np.sqrt(((m - near) ** 2).sum(axis=1))
+    exact = m / scale[:, None]  # of small numbers, whatever the vector's size
+    codes = np.rint(exact).astype(np.int8)
+    norm = lambda x: scale * np.sqrt((x**2).sum(axis=1))
+    return codes, scale, norm(codes.astype(np.float64)), norm(exact - codes)
 
 
 def int8_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -49,23 +53,36 @@ def products(q: np.ndarray, c: np.ndarray, rows: np.ndarray, cols: np.ndarray) -
     return out
 
 
-def bounded_scores(q: np.ndarray, c: np.ndarray, q_ids: np.ndarray, c_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k largest inner products of each query with a tile."""
-    picked = tiles.spare_copies(c, k + tiles.most_of_an_id(c_ids))
-    some, ids = c[picked], c_ids[picked]
-    (qc, qs, qn, qe), (cc, cs, cn, ce) = rounded(q), rounded(some)
+def survivors(q: np.ndarray, c: np.ndarray, use: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs in use whose upper bound reaches the k-th best lower bound of their query.
+
+    Where a product of the two sides could overflow, there is no bound and every pair survives.
+    """
+    if float(np.abs(q).max()) * float(np.abs(c).max()) > OVERFLOW / q.shape[1]:
+        return np.nonzero(use)
+    (qc, qs, qn, qe), (cc, cs, cn, ce) = rounded(q), rounded(c)
     near = int8_product(qc, cc)
     near *= qs[:, None]
     near *= cs
     error = np.outer(qe, cn + ce) + np.outer(qn, ce)
-    error += 1e-12 * np.outer(qn + qe, cn + ce)  # rounding of the doubles themselves
-    r, w = tiles.own(q_ids, ids)
-    near[r, w] = -np.inf
-    low = near - error
-    n = min(k, len(ids))
-    floor = np.partition(low, len(ids) - n, axis=1)[:, len(ids) - n]
-    rows, cols = np.nonzero((near + error >= floor[:, None]) & np.isfinite(near))
-    scores = products(q, some, rows, cols)
+    error += 1e-12 * np.outer(qn + qe, cn + ce) + 1e-310  # rounding of the doubles themselves
+    low = np.where(use, near - error, -np.inf)
+    n = min(k, c.shape[0])
+    floor = np.partition(low, len(c) - n, axis=1)[:, len(c) - n]
+    return np.nonzero(use & (near + error >= floor[:, None]))
+
+
+def bounded_scores(q: np.ndarray, c: np.ndarray, q_ids: np.ndarray, c_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k largest inner products of each query with a tile; a product that is not a number (inf - inf) takes no part."""
+    picked = tiles.spare_copies(c, k + tiles.most_of_an_id(c_ids))
+    some, ids = c[picked], c_ids[picked]
+    use = np.ones((len(q), len(some)), bool)
+    use[tiles.own(q_ids, ids)] = False
+    with np.errstate(over="ignore", invalid="ignore"):
+        rows, cols = survivors(q, some, use, k)
+        scores = products(q, some, rows, cols)
+    real = ~np.isnan(scores)
+    rows, cols, scores = rows[real], cols[real], scores[real]
     heaps: dict[int, list] = {}
     for row, col, s in zip(rows.tolist(), cols.tolist(), scores.tolist(), strict=True):
         heap = heaps.setdefault(row, [])

@@ -60,21 +60,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_exact_topk, op2_quality, op3_licenses, op4_packing, op5_warc, op6_pieces, op7_language, op8_line_dedup, op9_simhash, op10_nearest)
 }
 
-_VALID = """SELECT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+# each row is a query of its own, whatever its id: k tells rows apart
+_VALID = """SELECT vec_id, embedding, row_number() OVER () AS k FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
 
 ORACLE_SQL = {
     "op1_exact_topk": f"""
-WITH v AS ({_VALID}), i AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM v),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+WITH v AS ({_VALID}), i AS (SELECT k, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM v),
+s AS (SELECT q.k, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
   FROM i q JOIN i c ON len(q.e) = len(c.e) AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id) AS n FROM s)
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5""",
     "op10_nearest": f"""
-WITH v AS ({_VALID} AND len(list_filter(embedding, lambda x: x <> 0)) > 0), i AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM v),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]), lambda a, b: a + b) AS score
+WITH v AS ({_VALID} AND len(list_filter(embedding, lambda x: x <> 0)) > 0), i AS (SELECT k, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM v),
+s AS (SELECT q.k, q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]), lambda a, b: a + b) AS score
   FROM i q JOIN i c ON len(q.e) = len(c.e) AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id) AS n FROM s WHERE NOT isnan(score))
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20""",
     "op8_line_dedup": r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, text FROM documents),
