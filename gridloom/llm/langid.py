@@ -13,7 +13,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +21,8 @@ from gridloom.llm.samples import labelled_sample
 
 BITS = 16
 SCALE = 40.0
-#: Characters that are looked at together; a longer text is taken in runs that overlap by two.
-RUN = 1 << 21
-LETTER = re.compile(r"[^\W\d_]")
+#: Characters that are looked at together; a longer text is taken in runs that overlap by two. A run takes about 40 bytes a character.
+RUN = 1 << 16
 NONE = "und"
 
 
@@ -55,10 +53,21 @@ def grams(text: str) -> Iterator[np.ndarray]:
         yield mix(np.concatenate([own * np.uint32(0xC2B2AE35), two + np.uint32(0x27D4EB2F), three * np.uint32(0x165667B1)]))
 
 
-def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+def has_letter(text: str | None) -> bool:
+    """Whether a character is a letter to Unicode (numbers such as a half or a circled one are not)."""
+    return any(map(str.isalpha, text or ""))
+
+
+def tally(text: str) -> np.ndarray:
+    """How often each n-gram's hash occurs in a whole text."""
     total = np.zeros(1 << BITS, np.int64)
     for h in grams(text):
         total += np.bincount(h, minlength=1 << BITS)
+    return total
+
+
+def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    total = tally(text)
     at = np.flatnonzero(total)
     return at, total[at] / total.sum()
 
@@ -71,19 +80,17 @@ def softmax(z: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     langs: list[str]
-    weights: np.ndarray  # features x languages, inverse document frequencies and scale included
+    live: np.ndarray  # the features that have a weight other than zero
+    weights: np.ndarray  # live features x languages, inverse document frequencies and scale included
     bias: np.ndarray
     temperature: float
 
     def logits(self, text: str) -> np.ndarray:
-        total, n = np.zeros(len(self.langs)), 0
-        for h in grams(text):
-            total += np.ones(len(h), np.float32) @ self.weights[h]
-            n += len(h)
-        return total / n + self.bias
+        total = tally(text)
+        return total[self.live] / total.sum() @ self.weights + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.langs or not text or not LETTER.search(text):
+        if not self.langs or not has_letter(text):
             return NONE, 0.0
         p = softmax(self.logits(text) / self.temperature)
         best = int(p.argmax())
@@ -120,10 +127,10 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 def train(rows: list[tuple[int, str, str]], epochs: int = 4) -> Model:
     """A model from (id, text, language) rows; every fifth row calibrates it."""
-    rows = [r for r in rows if LETTER.search(r[1])]
+    rows = [r for r in rows if has_letter(r[1])]
     langs = sorted({r[2] for r in rows})
     if not rows:
-        return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0)
+        return Model([], np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0), 1.0)
     data = [(*counts(text), langs.index(lang)) for _, text, lang in rows]
     held = [d for i, d in enumerate(data) if i % 5 == 4]
     fit = [d for i, d in enumerate(data) if i % 5 != 4]
@@ -143,9 +150,10 @@ def train(rows: list[tuple[int, str, str]], epochs: int = 4) -> Model:
             p[y] -= 1
             ftrl.step(at, w, np.outer(x, p))
     w = ftrl.weights(slice(None))
-    table, bias = (w[:-1] * idf[:, None]).astype(np.float32), w[-1]
+    table, bias = w[:-1] * idf[:, None], w[-1]
     logits = np.array([share @ table[at] + bias for at, share, _ in held]).reshape(-1, len(langs))
-    return Model(langs, table, bias, temperature(logits, np.array([d[2] for d in held], int)))
+    live = np.flatnonzero((table != 0).any(axis=1))
+    return Model(langs, live, table[live], bias, temperature(logits, np.array([d[2] for d in held], int)))
 
 
 def fit(docs: DataFrame, learn: DataFrame | None = None, per_lang: int = 400) -> Model:
@@ -164,7 +172,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     und with score 0 if the text is null or has no letter, or if the model has learned no language.
     Repeated rows stay repeated; an empty table gives an empty table.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS floats for each language
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS floats at most for each language, of which few are not zero
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value

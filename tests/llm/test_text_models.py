@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -35,11 +36,42 @@ def test_grams_of_runs_are_those_of_the_whole(monkeypatch):
     assert np.array_equal(np.sort(np.concatenate(list(langid.grams(text)))), whole)
 
 
+def plain_probabilities(model, text):
+    """The same by dictionaries and loops: n-grams as strings, hashed one at a time, each weighed by itself."""
+    m32 = lambda x: x & 0xFFFFFFFF
+    mix = lambda h: m32((h ^ h >> 15) * 0x85EBCA6B) >> (32 - langid.BITS)
+    c = [ord(x) if x.isalpha() else 32 for x in f" {text.lower()} "]
+    hashes = [mix(m32(x * 0xC2B2AE35)) for x in c]
+    hashes += [mix(m32(x * 0x9E3779B1 + y + 0x27D4EB2F)) for x, y in zip(c, c[1:], strict=False)]
+    hashes += [mix(m32(m32(m32(x * 0x9E3779B1 + y) * 0x9E3779B1 + z) * 0x165667B1)) for x, y, z in zip(c, c[1:], c[2:], strict=False)]
+    weight = dict(zip(model.live.tolist(), model.weights.tolist(), strict=True))
+    z = [(b + sum(weight.get(h, [0.0] * len(model.langs))[k] for h in hashes) / len(hashes)) / model.temperature for k, b in enumerate(model.bias.tolist())]
+    e = [math.exp(x - max(z)) for x in z]
+    return {k: x / sum(e) for k, x in zip(model.langs, e, strict=True)}
+
+
+def test_language_is_brute_force(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, langid.learnable(docs))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in run("op7_language", spark, sf_dir).collect():
+        if not any(x.isalpha() for x in texts[r.doc_id] or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        want = plain_probabilities(model, texts[r.doc_id])
+        assert abs(r.score - max(want.values())) < 1e-6 and want[r.lang_pred] > max(want.values()) - 1e-6
+
+
+def test_language_needs_a_letter():
+    model = langid.train([(i, t, lang) for i in range(20) for t, lang in (("the cat and the dog", "en"), ("der hund und die katze", "de"))])
+    assert {model.predict(t) for t in ("½ ² ① Ⅷ", "", None, "12 _ !", "🙂")} == {("und", 0.0)} and model.predict("ª")[0] != "und"
+
+
 def test_temperature_and_sparsity():
     rows = [(i, t * (i % 3 + 1), lang) for i in range(60) for t, lang in (("the cat and the dog ", "en"), ("der hund und die katze ", "de"))]
     model = langid.train(rows)
     assert model.predict("the dog and the cat")[0] == "en" and model.predict("die katze und der hund")[0] == "de"
-    assert (model.weights != 0).mean() < 0.05 and model.temperature > 0
+    assert len(model.live) < 0.05 * 2**langid.BITS and (model.weights != 0).any(axis=1).all() and model.temperature > 0
 
 
 def test_quality_held_out_accuracy(spark, sf_dir):
