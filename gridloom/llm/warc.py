@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import html
 import re
 import uuid
 from collections.abc import Iterator
@@ -17,36 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm import pagetext
+
 DATE = "1970-01-01T00:00:00Z"
 #: Namespace of the identifiers derived here.
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:gridloom:warc")
 
-# Elements of HTML whose text is not shown, void elements of a head, and elements that begin a new line.
-HIDDEN = "script|style|template|noscript"
-IN_HEAD = "base|basefont|bgsound|link|meta"
-BREAKING = "address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul"
-
-_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>", re.S)
-# a head ends at its end tag, or before the first text or element that cannot stand in it
-_HEAD = rf"<head(?=[\s/>])[^>]*>(?:\s|<({HIDDEN}|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|</?(?:{IN_HEAD})(?=[\s/>])[^>]*>|</(?:{HIDDEN}|title)\s*>)*+(?:</head\s*>)?"
-_HIDDEN = re.compile(rf"{_HEAD}|<({HIDDEN})(?=[\s/>])[^>]*>.*?(?:</\2\s*>|\Z)", re.S | re.I)
-_BREAK = re.compile(rf"</?(?:{BREAKING})\b[^>]*>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z][^>]*>")
-_SPACES = re.compile(r"[^\S\n]+")
-_LINES = re.compile(r" ?\n[ \n]*")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-_CHARSET = re.compile(r"<meta\b[^>]*?\bcharset\s*=\s*[\"']?([\w-]+)", re.I)
-
-
-def plain_text(page: str) -> str:
-    """The visible text of a page: one line for each block, entities resolved, spaces collapsed."""
-    page = _HIDDEN.sub(" ", _COMMENT.sub("", page))
-    page = html.unescape(_TAG.sub("", _BREAK.sub("\n", page)))
-    return _LINES.sub("\n", _SPACES.sub(" ", page)).strip()
-
-
 def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()  # noqa: S324
 
@@ -55,16 +30,21 @@ def record_id(kind: str, source: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE, f'{kind} {source}')}>"
 
 
-def described(page: str) -> str:
-    """The fields of a metadata record, one a line."""
-    found = [("title", _TITLE), ("languages-html", _LANG), ("charset-detected", _CHARSET)]
-    lines = [f"{name}: {' '.join(html.unescape(m[1]).split())}" for name, pattern in found if (m := pattern.search(page))]
-    lines += [f"outlink: {' '.join(html.unescape(next(g for g in m.groups() if g is not None)).split())} L a/@href" for m in _LINK.finditer(page)]
+def described(page: pagetext.Page, http: str | None) -> str:
+    """The fields of a metadata record, one a line: what the page says of itself, where it links, and the response's headers."""
+    found = [("title", page.title), ("languages-html", page.language), ("charset-detected", page.charset)]
+    lines = [f"{name}: {one_line(value)}" for name, value in found if value is not None]
+    lines += [f"outlink: {one_line(x)} L a/@href" for x in page.links]
+    lines += [f"source-http-header: {one_line(x)}" for x in (http or "").splitlines() if x.strip()]
     return "".join(x + "\r\n" for x in lines)
 
 
+def one_line(value: str) -> str:
+    return " ".join(value.split())
+
+
 def written(headers: list[tuple[str, str]], block: bytes) -> bytes:
-    clean = lambda v: re.sub(r"[\r\n]+", " ", v)
+    clean = lambda v: re.sub(r"\s*[\r\n]+\s*", "; ", v.strip())
     return b"WARC/1.1\r\n" + "".join(f"{k}: {clean(v)}\r\n" for k, v in headers).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
@@ -97,8 +77,11 @@ def derive(source: DataFrame) -> DataFrame:
     """A metadata and a conversion record for each response (page_id, target_uri, record_id, date, http_headers, payload).
 
     refers_to is the response's record_id; its target, date, HTTP headers and payload digest come along as
-    WARC-Target-URI, WARC-Date, WARC-Source-HTTP-Headers and WARC-Source-Payload-Digest. A null payload is an
-    empty page: both records exist, with empty blocks. A null target has no such header. Bytes that aren't
+    WARC-Target-URI, WARC-Date, WARC-Source-HTTP-Headers (on one line, split by semicolons; the metadata record's block has
+    a line for each) and WARC-Source-Payload-Digest. The last two are extensions, which the format allows; it keeps
+    WARC-Refers-To-Target-URI and -Date for revisit records. The date is the response's own, so that a task that
+    runs again writes the same bytes. A null payload is an
+    empty page: both records exist, the conversion's block empty. A null target has no such header. Bytes that aren't
     UTF-8 are replaced in the text. Repeated responses give repeated records. More columns are not looked at.
     """
 
@@ -107,10 +90,10 @@ def derive(source: DataFrame) -> DataFrame:
             rows: list[tuple] = []
             for page_id, target, rid, date, http, payload in zip(*(batch.column(i) for i in range(6)), strict=True):
                 raw = payload.as_py() or b""
-                page = raw.decode("utf-8", "replace")
+                page = pagetext.scan(raw.decode("utf-8", "replace"))
                 target, rid, date, http = (x.as_py() for x in (target, rid, date, http))
                 came = digest(raw)
-                for kind, content, block in (("metadata", "application/warc-fields", described(page)), ("conversion", "text/plain; charset=utf-8", plain_text(page))):
+                for kind, content, block in (("metadata", "application/warc-fields", described(page, http)), ("conversion", "text/plain; charset=utf-8", page.text())):
                     body = block.encode("utf-8", "replace")
                     own, digested = record_id(kind, rid or ""), digest(body)
                     headers = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Refers-To", rid), ("WARC-Target-URI", target), ("WARC-Date", date), ("WARC-Block-Digest", digested), ("WARC-Source-Payload-Digest", came), ("WARC-Source-HTTP-Headers", http), ("Content-Type", content), ("Content-Length", str(len(body)))]

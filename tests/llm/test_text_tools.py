@@ -1,3 +1,7 @@
+import base64
+import hashlib
+import html.parser
+import time
 import zlib
 from collections import defaultdict
 
@@ -6,7 +10,7 @@ import public_tokenizers
 import sentencepiece
 from tokenizers import Tokenizer
 
-from gridloom.llm import entry, linededup, packing, pieces, warc
+from gridloom.llm import entry, linededup, packing, pagetext, pieces, warc
 from gridloom.llm.common import table
 from tests.compare import same
 from tests.llm.common import odd_docs, run
@@ -94,6 +98,76 @@ def test_pieces_odd_rows(spark):
     assert back[7] == "é漢🙂 mixed <|endoftext|> text" and pieces.digests(docs.limit(0)).collect() == []
 
 
+def plain_text(page):
+    return pagetext.scan(page).text()
+
+
+class Reader(html.parser.HTMLParser):
+    """The visible text by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.parts, self.hidden = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style", "title", "template", "noscript")
+        self.parts += ["\n"] * (tag in pagetext.BREAKING)
+
+    def handle_startendtag(self, tag, attrs):
+        self.parts += ["\n"] * (tag in pagetext.BREAKING)
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style", "title", "template", "noscript")
+        self.parts += ["\n"] * (tag in pagetext.BREAKING)
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.parts.append(data)
+
+
+def test_warc_text_is_the_standard_parser_s(spark, sf_dir):
+    for r in table(spark, sf_dir, "pages").collect():
+        reader = Reader()
+        reader.feed(r.html)
+        reader.close()
+        lines = [" ".join(x.split()) for x in "".join(reader.parts).split("\n")]
+        assert plain_text(r.html) == "\n".join(x for x in lines if x)
+
+
+def test_warc_hostile_pages_take_linear_time():
+    n = 5 << 20
+    for piece in ("<a ", "<a href=", "<a b='", '<a b="', "<a b='\"", "<script>", "<!--", "<title>", "</", "<![", "<p>x", "<a b='>' ", "= ", "<a b=\"c' ", "<template>", "&lt", "<textarea", "<a" + " " * 50):
+        page = piece * (n // len(piece))
+        began = time.perf_counter()
+        pagetext.scan(page).text()
+        pagetext.scan(f"<p>{page}>").text()
+        assert time.perf_counter() - began < 20, piece
+
+
+def test_warc_text_of_broken_pages():
+    assert plain_text('<script>if (a) x = "<!--";</script>the text<style><!-- </style> stays') == "the text stays"
+    assert plain_text("a<!-->b<!--->c<!-- d --!>e<!-- f") == "abce"
+    assert plain_text('<p title="a > b">c</p ><a href=">">d</a><a href="unclosed>e</a>') == "c\nde"
+    assert plain_text("a < b <3 <> </> </ x>c<?php d ?>e<!doctype html>f") == "a < b <3 <> cef"
+    assert plain_text("<noscript>a<body>b<template>c<template>d</template>e</template>f") == "bf"
+    assert plain_text("<textarea><b>x</b> &amp; y</textarea><xmp><p></xmp>z<plaintext") == "<b>x</b> & yz"
+    page = pagetext.scan("<HTML LANG=en><meta http-equiv=content-type content='text/html; charset=latin-1'><title> a\n b </title><a HREF='x&amp;y' href=z>1</a><a href>2</a><a name=n>3</a><!--<a href=c>--><script><a href=s></script>")
+    assert (page.language, page.charset, page.title, page.links) == ("en", "latin-1", "a b", ["x&y", ""])
+
+
+def test_warc_source_headers(spark):
+    http = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Note: a: b\r\n\r\n"
+    rows = [(1, "http://a/", "<urn:uuid:1>", "2020-02-03T04:05:06Z", http, bytearray(b"<p>x\xff</p>"), "extra"), (2, "http://b/", None, None, None, None, None)]
+    source = spark.createDataFrame(rows, "page_id long, target_uri string, record_id string, date string, http_headers string, payload binary, block string")
+    out = {(r.page_id, r.record_type): warc.parsed(bytes(r.record))[0] for r in warc.derive(source).collect()}
+    headers, block = out[1, "conversion"]
+    assert headers["WARC-Date"] == "2020-02-03T04:05:06Z" and headers["WARC-Refers-To"] == "<urn:uuid:1>" and block == "x\ufffd".encode()
+    assert headers["WARC-Source-HTTP-Headers"] == "HTTP/1.1 200 OK; Content-Type: text/html; charset=utf-8; X-Note: a: b"
+    assert headers["WARC-Source-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(b"<p>x\xff</p>").digest()).decode()
+    assert out[1, "metadata"][1] == b"".join(b"source-http-header: " + x.encode() + b"\r\n" for x in http.split("\r\n") if x)
+    assert out[2, "conversion"][1] == out[2, "metadata"][1] == b"" and "WARC-Refers-To" not in out[2, "conversion"][0]
+
+
 def test_warc(spark, sf_dir):
     source = warc.responses(table(spark, sf_dir, "pages"))
     ids = {r.page_id: (r.record_id, r.target_uri, warc.digest(bytes(r.payload))) for r in source.collect()}
@@ -110,8 +184,8 @@ def test_warc(spark, sf_dir):
 
 def test_warc_text_and_odd_rows(spark, tmp_path):
     page = "<html lang='de'><head><title>A &amp; B</title><style>x</style></head><body><!-- c --><p>Eins<br>zwei <b>drei</b></p><script>var t='</p>';</script><a href=\"/u?a=1&amp;b\">l</a> 1 < 2</body></html>"
-    assert warc.plain_text(page) == "Eins\nzwei drei\nl 1 < 2"
-    assert warc.described(page) == "title: A & B\r\nlanguages-html: de\r\noutlink: /u?a=1&b L a/@href\r\n"
+    assert plain_text(page) == "Eins\nzwei drei\nl 1 < 2"
+    assert warc.described(pagetext.scan(page), None) == "title: A & B\r\nlanguages-html: de\r\noutlink: /u?a=1&b L a/@href\r\n"
     pages = spark.createDataFrame([(1, "http://a", page, "x"), (1, "http://a", page, "x"), (2, None, None, "x"), (None, "u\r\nv", "", "x")], "page_id long, url string, html string, record_id string")
     rows = warc.derive(warc.responses(pages)).collect()
     assert len(rows) == 8 and warc.derive(warc.responses(pages.limit(0))).collect() == []
@@ -121,8 +195,8 @@ def test_warc_text_and_odd_rows(spark, tmp_path):
 
 def test_warc_text_behind_an_unclosed_head():
     for page in ("<html><head><title>t</title><body><p>all the text</p>", "<head>\n<meta charset=utf-8><TITLE>a <script> b</TITLE><style>x</style>\n<p>all the text", "<head ><title>t</title>all the text", "<head/><link href=x></head >all the text", "<head-x>all</head-x> the text<script >x</script>"):
-        assert warc.plain_text(page) == "all the text"
-    assert warc.plain_text("<script-x>a</script-x><header>b</header><head><title>t") == "a\nb"
+        assert plain_text(page) == "all the text"
+    assert plain_text("<script-x>a</script-x><header>b</header><head><title>t") == "a\nb"
 
 
 def test_line_dedup_sql(spark, sf_dir, duck):
