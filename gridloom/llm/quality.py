@@ -2,7 +2,8 @@
 
 Bytes are embedded; learned filters of eight bytes slide over them in steps of four. One more input channel, which
 each filter weighs too, tells whether a window's eight bytes stood 2 to 24 places before as well, as in runs of a
-repeated word. The filters' rectified responses are averaged over chunks of 256 bytes that overlap by half and cover the whole document, the chunks of a
+repeated word: filters of a fixed width can't see that two windows are alike, and without the channel four times as
+many bad documents pass. The filters' rectified responses are averaged over chunks of 256 bytes that overlap by half and cover the whole document, the chunks of a
 document are max-pooled filter by filter, and a logistic unit combines the pooled responses into a probability.
 """
 
@@ -25,7 +26,7 @@ HALF = 128
 WINDOWS = HALF // STEP
 LAGS = range(2, 25)
 #: Bytes that are looked at together; a longer text is taken in runs.
-RUN = 1 << 20
+RUN = 1 << 18
 THRESHOLD = 0.3
 
 
@@ -67,19 +68,23 @@ def repeated(raw: np.ndarray) -> np.ndarray:
     return out.astype(np.float32)
 
 
+def groups(net: Net, raw: np.ndarray) -> np.ndarray:
+    """The embedded bytes of padded texts, STEP bytes a row."""
+    return net.embed[raw].reshape(-1, STEP * EMBED)
+
+
 def responses(net: Net, e: np.ndarray, again: np.ndarray) -> np.ndarray:
-    r = e[:-1] @ net.first
-    r += e[1:] @ net.second
+    """Each filter's response to the windows that begin with each group of bytes but the last; again: which of them repeat."""
+    r = (e @ net.first)[:-1]
+    r += (e @ net.second)[1:]
     r += np.outer(again, net.repeat)
     r += net.offset
     return r
 
 
-def halves(net: Net, raw: np.ndarray, again: np.ndarray) -> np.ndarray:
-    """Mean rectified response of each filter over each half chunk of padded bytes; again: their repeated windows."""
-    r = responses(net, net.embed[raw].reshape(-1, STEP * EMBED), again)
-    np.maximum(r, 0, out=r)
-    return np.ones(WINDOWS, np.float32) @ r.reshape(-1, WINDOWS, FILTERS) / WINDOWS
+def means(r: np.ndarray) -> np.ndarray:
+    """Mean rectified response of each filter over each half chunk."""
+    return np.ones(WINDOWS, r.dtype) @ np.maximum(r, 0).reshape(-1, WINDOWS, FILTERS) / WINDOWS
 
 
 def pooled(net: Net, text: str) -> np.ndarray:
@@ -88,7 +93,7 @@ def pooled(net: Net, text: str) -> np.ndarray:
     best = np.zeros(FILTERS, np.float32)
     for at in range(0, len(raw) - STEP - HALF, RUN):
         end, before = at + RUN + HALF + STEP, min(at, HALF)  # one half more than the run: no chunk is lost between runs
-        h = halves(net, raw[at:end], repeated(raw[at - before : end])[before // STEP :])
+        h = means(responses(net, groups(net, raw[at:end]), repeated(raw[at - before : end])[before // STEP :]))
         best = np.maximum(best, ((h[:-1] + h[1:]) / 2).max(axis=0))
     return best
 
@@ -98,55 +103,67 @@ def probability(net: Net, text: str | None) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def loss_gradient(net: Net, raws: list[np.ndarray], y: np.ndarray) -> list[np.ndarray]:
-    """Gradient of the logistic loss of a batch; only each filter's largest chunk passes it on."""
-    agains = [repeated(raw) for raw in raws]
-    hs = [halves(net, raw, again) for raw, again in zip(raws, agains, strict=True)]
-    means = [(h[:-1] + h[1:]) / 2 for h in hs]
-    at = np.array([m.argmax(axis=0) for m in means])
-    pool = np.array([m.max(axis=0) for m in means])
-    z = pool @ net.out + net.bias[0]
-    g = ((1 / (1 + np.exp(-z)) - y) / len(y)).astype(np.float32)
-    d_embed, d_first, d_second, d_repeat, d_offset = (np.zeros_like(p) for p in net.parameters()[:5])
+def loss_gradient(net: Net, raws: list[np.ndarray], agains: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """Gradient of the (weighted) logistic loss of a batch; only each filter's largest chunk passes it on.
+
+    The texts' groups lie one after another, so that each layer is one product; the window that would begin with a
+    text's last group is left out. agains: the texts' repeated windows.
+    """
+    raw = np.concatenate(raws)
+    e = groups(net, raw)
+    ends = np.cumsum([len(x) // STEP for x in raws])  # one past each text's last group
+    begins = np.concatenate([[0], ends[:-1]])
+    inside = np.ones(len(e) - 1, bool)
+    inside[ends[:-1] - 1] = False
+    again = np.concatenate([x for some in agains for x in (some, [0.0])])[:-1].astype(e.dtype)
+    r = responses(net, e, again)
+    h = means(r[inside])
+    half_ends = np.cumsum((ends - begins - 1) // WINDOWS)
+    at = np.zeros((len(raws), FILTERS), np.int64)
+    pool = np.zeros((len(raws), FILTERS), r.dtype)
+    for i, end in enumerate(half_ends.tolist()):
+        part = h[half_ends[i - 1] if i else 0 : end]
+        m = (part[:-1] + part[1:]) / 2
+        at[i], pool[i] = m.argmax(axis=0), m.max(axis=0)
+    z = np.clip(pool @ net.out + net.bias[0], -60, 60)
+    g = (1 / (1 + np.exp(-z)) - y) * weight / weight.sum()
     down = np.outer(g, net.out) / (2 * WINDOWS)
-    for i, (raw, again) in enumerate(zip(raws, agains, strict=True)):
-        for chunk in np.unique(at[i]):
-            part = raw[chunk * HALF : chunk * HALF + 2 * HALF + STEP]
-            e = net.embed[part].reshape(-1, STEP * EMBED)
-            some = again[chunk * WINDOWS : (chunk + 2) * WINDOWS]
-            d = (responses(net, e, some) > 0) * (down[i] * (at[i] == chunk))
-            d_first += e[:-1].T @ d
-            d_second += e[1:].T @ d
-            d_repeat += some @ d
-            d_offset += d.sum(axis=0)
-            de = np.zeros_like(e)
-            de[:-1] += d @ net.first.T
-            de[1:] += d @ net.second.T
-            np.add.at(d_embed, part, de.reshape(-1, EMBED))
-    return [d_embed, d_first, d_second, d_repeat, d_offset, pool.T @ g + 1e-4 * net.out, np.array([g.sum()], np.float32)]
-
-
-def train(rows: list[tuple[int, str, int]], epochs: int = 6, batch: int = 32, rate: float = 0.02) -> Net:
-    """Adam steps on (id, text, label) rows."""
+    windows = (begins[:, None] + at * WINDOWS)[:, :, None] + np.arange(2 * WINDOWS)  # groups that begin the chosen chunks' windows
+    de = np.zeros_like(e)
+    d_first, d_second, d_repeat, d_offset = (np.zeros_like(p) for p in (net.first, net.second, net.repeat, net.offset))
+    for f in range(FILTERS):
+        rows = windows[:, f].ravel()
+        d = (r[rows, f] > 0) * np.repeat(down[:, f], 2 * WINDOWS)
+        d_first[:, f], d_second[:, f], d_repeat[f], d_offset[f] = d @ e[rows], d @ e[rows + 1], d @ again[rows], d.sum()
+        de[rows] += d[:, None] * net.first[:, f]  # a filter's rows are all different
+        de[rows + 1] += d[:, None] * net.second[:, f]
+    used = np.flatnonzero(de.any(axis=1))
+    letters, flow = raw.reshape(-1, STEP)[used].ravel(), de[used].reshape(-1, EMBED)
+    d_embed = np.stack([np.bincount(letters, flow[:, k], 256) for k in range(EMBED)], axis=1).astype(net.embed.dtype)
+    return [d_embed, d_first, d_second, d_repeat, d_offset, (pool.T @ g + 1e-4 * net.out).astype(net.out.dtype), np.array([g.sum()], net.bias.dtype)]
+
+
+def train(rows: list[tuple[int, str, int]], steps: int = 300, batch: int = 32, rate: float = 0.02) -> Net:
+    """Adam steps on (id, text, label) rows; both labels weigh the same, however many rows they have."""
     rng = np.random.default_rng(5)
     net = fresh(rng)
     if not rows:
         return net
     raws = [padded(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)) for _, t, _ in rows]
+    agains = [repeated(raw) for raw in raws]
     y = np.array([int(label) for *_, label in rows], np.float32)
+    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, len(y) - y.sum())).astype(np.float32) * len(y)
     first, second = ([np.zeros_like(p) for p in net.parameters()] for _ in range(2))
-    n = 0
-    steps = epochs * -(-len(rows) // batch)
-    for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for i in range(0, len(rows), batch):
-            some = order[i : i + batch]
-            n += 1
-            now = rate * (1 - 0.9 * n / steps)
-            for p, g, a, b in zip(net.parameters(), loss_gradient(net, [raws[j] for j in some], y[some]), first, second, strict=True):
-                a += 0.1 * (g - a)
-                b += 0.01 * (g * g - b)
-                p -= now * (a / (1 - 0.9**n)) / (np.sqrt(b / (1 - 0.99**n)) + 1e-6)
+    order: list[int] = []
+    for n in range(1, steps + 1):
+        if len(order) < batch:
+            order += rng.permutation(len(rows)).tolist()
+        some, order = order[:batch], order[batch:]
+        now = rate * (1 - 0.9 * n / steps)
+        for p, g, a, b in zip(net.parameters(), loss_gradient(net, [raws[j] for j in some], [agains[j] for j in some], y[some], weight[some]), first, second, strict=True):
+            a += 0.1 * (g - a)
+            b += 0.01 * (g * g - b)
+            p -= now * (a / (1 - 0.9**n)) / (np.sqrt(b / (1 - 0.99**n)) + 1e-6)
     return net
 
 

@@ -79,8 +79,37 @@ def test_quality_held_out_accuracy(spark, sf_dir):
     rows = run("op2_quality", spark, sf_dir).collect()
     assert len(rows) == table(spark, sf_dir, "documents").count()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
-    known = [r for r in rows if r.doc_id in label]
-    assert np.mean([r.predicted == label[r.doc_id] for r in known]) > 0.85
+    # at sf0.001 few rows are held out; on sf0.1 703 good and 122 bad ones are (README)
+    good, bad = ([r.score for r in rows if r.held_out and label.get(r.doc_id) == k] for k in (1, 0))
+    assert good and min(good) >= 0.3 and all(g > b for g in good for b in bad)
+
+
+def plain_probability(net, text):
+    """The same by loops over windows, chunks and filters."""
+    raw = (text or "").encode()
+    n = max(2, -(-len(raw) // 128))
+    raw += bytes(128 * n + 4 - len(raw))
+    means = []
+    for half in range(n):
+        total = [0.0] * quality.FILTERS
+        for i in range(128 * half, 128 * half + 128, 4):
+            window = raw[i : i + 8]
+            again = float(any(raw[i - lag : i - lag + 8] == window for lag in range(2, 25) if i >= lag) and any(window))
+            x = [v for byte in window for v in net.embed[byte].tolist()]
+            for f in range(quality.FILTERS):
+                kernel = net.first[:, f].tolist() + net.second[:, f].tolist()
+                total[f] += max(0.0, sum(a * b for a, b in zip(x, kernel, strict=True)) + again * float(net.repeat[f]) + float(net.offset[f]))
+        means.append([t / 32 for t in total])
+    best = [max((a[f] + b[f]) / 2 for a, b in zip(means, means[1:], strict=False)) for f in range(quality.FILTERS)]
+    return 1 / (1 + math.exp(-sum(a * float(b) for a, b in zip(best, net.out, strict=True)) - float(net.bias[0])))
+
+
+def test_quality_is_brute_force():
+    rng = np.random.default_rng(2)
+    net = quality.fresh(rng)
+    net.offset += 0.1
+    for text in ("", "a", "word word word word word " * 9, "é漢🙂 Some text of no great length, which ends here. " * 7, "x" * 256, None):
+        assert abs(quality.probability(net, text) - plain_probability(net, text)) < 1e-5
 
 
 def test_quality_gradient():
@@ -90,14 +119,14 @@ def test_quality_gradient():
         p += 0.01
     net64 = quality.Net(*[p.astype(np.float64) for p in net.parameters()])
     raws = [quality.padded(np.frombuffer(t.encode(), np.uint8)) for t in ("ab ab ab ab ab ab " * 30, "hello there!! " * 40, "x")]
-    y = np.array([1.0, 0.0, 1.0])
+    y, weight = np.array([1.0, 0.0, 1.0]), np.array([1.0, 3.0, 0.5])
 
     def loss():
-        hs = [quality.halves(net64, r, quality.repeated(r)) for r in raws]
+        hs = [quality.means(quality.responses(net64, quality.groups(net64, r), quality.repeated(r))) for r in raws]
         z = np.array([((h[:-1] + h[1:]) / 2).max(axis=0) @ net64.out + net64.bias[0] for h in hs])
-        return np.mean(np.log1p(np.exp(z)) - y * z) + 0.5e-4 * (net64.out**2).sum()
+        return (weight * (np.log1p(np.exp(z)) - y * z)).sum() / weight.sum() + 0.5e-4 * (net64.out**2).sum()
 
-    grads = quality.loss_gradient(net64, raws, y)
+    grads = quality.loss_gradient(net64, raws, [quality.repeated(r) for r in raws], y, weight)
     for p, g in zip(net64.parameters(), grads, strict=True):
         i = np.unravel_index(np.abs(g).argmax(), g.shape)
         before = p[i]
