@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,43 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the checkpoint folder: computed once, small on disk, and read by the columns that are needed."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def hash_pair(name: str, *columns: Column | str) -> list[Column]:
+    """Two 64-bit hashes of the columns, name1 and name2: together they stand for a line or document."""
+    return [F.xxhash64(*columns).alias(f"{name}1"), F.xxhash64(F.lit(1), *columns).alias(f"{name}2")]
+
+
+#: A key of more than one in so many rows is hot.
+HOT = 1000
+
+
+def weighted_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, values: list[str], how: str) -> DataFrame:
+    """left joined to right (each key once; weight: how many rows of left have it) on keys that are hashes, with the columns `values` of right.
+
+    Keys of more than a HOTth of the weights' sum, fewer than HOT, are broadcast. Rows of left that meet one don't
+    take part in the shuffle join but are dealt by a hash of their own, so that no task gets a hot key. how: inner or left.
+    """
+    total = right.agg(F.sum(weight).alias("n")).first()["n"] or 0
+    side = lambda rows, name: rows.select(*keys, F.struct(*values).alias(name))
+    is_hot = F.col(weight) * HOT > F.lit(total)
+    marked = left.join(F.broadcast(side(right.where(is_hot), "__hot")), keys, "left")
+    spread = F.xxhash64(F.lit("hot"), *[F.col(f"`{c}`") for c in left.columns if c not in keys])
+    moved = marked.withColumns({f"__{k}": F.when(F.col("__hot").isNotNull(), spread).otherwise(F.col(k)) for k in keys})
+    cold = side(right.where(~is_hot), "__cold").withColumnsRenamed({k: f"__{k}" for k in keys})
+    both = moved.join(cold, [f"__{k}" for k in keys], "left").withColumn("__v", F.coalesce("__hot", "__cold"))
+    if how == "inner":
+        both = both.where(F.col("__v").isNotNull())
+    return both.select(*[F.col(f"`{c}`") for c in left.columns], *[F.col(f"__v.{v}").alias(v) for v in values])
+
+
 def crc_mod(id_col: Column | str, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus; null for a null id."""
     col = F.col(id_col) if isinstance(id_col, str) else id_col

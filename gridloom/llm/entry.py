@@ -42,8 +42,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # as its SQL has it, lines of fewer than five tokens stay here and those of fewer than 13 have no open template
-    lines = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_tokens=5, min_open=13)
+    lines = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return lines.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
@@ -80,16 +79,23 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20"
     "op8_line_dedup": r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, text FROM documents),
 l AS (SELECT k, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d WHERE text IS NOT NULL),
-t AS (SELECT k, doc_id, pos, line, regexp_split_to_array(regexp_replace(trim(line, ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' +') AS w FROM l),
-n AS (SELECT *, len(w) AS n, array_to_string(w[1:3], chr(1)) AS lead,
-  [array_to_string(w[4 + ((len(w) - 3) * i) // 5 : 3 + ((len(w) - 3) * (i + 1)) // 5], chr(1)) FOR i IN [0, 1, 2, 3, 4]] AS runs FROM t WHERE len(w) >= 5),
-s AS (SELECT k, doc_id, pos, 'all' || chr(2) || array_to_string(w, chr(1)) AS sig FROM n
-  UNION ALL SELECT k, doc_id, pos, concat(CAST(j AS VARCHAR), chr(2), n, chr(2), lead, chr(2), array_to_string([runs[m] FOR m IN [1, 2, 3, 4, 5] IF m <> j], chr(2)))
-  FROM n, (SELECT unnest([1, 2, 3, 4, 5]) AS j) WHERE n >= 13),
-r AS (SELECT sig, count(DISTINCT k) AS docs, min(doc_id) AS first FROM s GROUP BY sig HAVING count(DISTINCT k) >= 2),
-x AS (SELECT DISTINCT s.k, s.pos FROM s JOIN r USING (sig) WHERE r.first IS NOT NULL AND (s.doc_id IS NULL OR s.doc_id <> r.first)),
-g AS (SELECT l.k, count(*) AS n_lines, count(x.pos) AS n_dropped, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE x.pos IS NULL), '') AS kept
+p AS (SELECT k, doc_id, pos, list_filter(string_split(line, ' '), lambda x: x <> '') AS own,
+  list_transform(own, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS opened FROM l WHERE regexp_matches(line, '\S')),
+w AS (SELECT k, doc_id, pos, CASE WHEN len(list_filter(opened, lambda x: x <> '<*>')) = 0 THEN own ELSE opened END AS w, array_to_string(w, ' ') AS m FROM p),
+u AS (SELECT m, any_value(w) AS w, len(any_value(w)) AS n, count(DISTINCT k) AS docs, min(doc_id) AS first FROM w GROUP BY m),
+leaf AS (SELECT *, CASE WHEN n < 13 THEN 1 ELSE 3 END AS lead, w[1:(CASE WHEN n < 13 THEN 1 ELSE 3 END)] AS path FROM u
+  WHERE n >= 5 AND len(list_filter(w, lambda x: x <> '<*>')) > 0),
+t AS (SELECT m, n, path, docs, unnest(w) AS token, generate_subscripts(w, 1) AS place, lead FROM leaf),
+s AS (SELECT m, n, path, place, token, sum(docs) OVER (PARTITION BY n, path, place, token) AS support FROM t WHERE place > lead),
+o AS (SELECT m, n, path, list(token ORDER BY place) AS tokens, list(support ORDER BY place) AS supports, list_sort(list(support))[(count(*) + 1) // 2] AS middle FROM s GROUP BY m, n, path),
+g AS (SELECT m, n, path, list_transform(list_zip(tokens, supports), lambda x: CASE WHEN x[2] * 2 <= middle THEN '<*>' ELSE x[1] END) AS template
+  FROM o WHERE len(list_filter(supports, lambda x: x * 2 <= middle)) * 5 <= n),
+gd AS (SELECT n, path, template, count(DISTINCT k) AS docs, min(doc_id) AS first FROM g JOIN w USING (m) GROUP BY n, path, template),
+r AS (SELECT m, first FROM u WHERE docs >= CASE WHEN n < 5 THEN 3 ELSE 2 END
+  UNION ALL SELECT m, gd.first FROM g JOIN gd USING (n, path, template) WHERE gd.docs >= CASE WHEN n < 13 THEN 3 ELSE 2 END),
+x AS (SELECT DISTINCT k, pos FROM w JOIN r USING (m) WHERE r.first IS NOT NULL AND (w.doc_id IS NULL OR w.doc_id <> r.first)),
+f AS (SELECT l.k, count(*) AS n_lines, count(x.pos) AS n_dropped, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE x.pos IS NULL), '') AS kept
   FROM l LEFT JOIN x ON l.k = x.k AND l.pos = x.pos GROUP BY l.k)
 SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(n_dropped, 0) AS INTEGER) AS n_dropped, md5(coalesce(kept, '')) AS text_md5
-FROM d LEFT JOIN g USING (k)""",
+FROM d LEFT JOIN f USING (k)""",
 }

@@ -1,11 +1,15 @@
 """Removal of recurring lines by a fixed-depth tree of log templates, in DataFrame operations only.
 
-A line's path in the tree is its number of tokens and its leading tokens; tokens with a digit are variable
-fields from the start. A leaf's templates generalise further: the tokens behind the leading ones are cut into
-five runs of like length, and each template leaves one run open, so that two lines of one template are the
-same in four fifths of these tokens at least. A template that occurs in several documents is recurring. In lines
-of fewer tokens only the first one leads, and the template of all tokens is there too; still shorter ones have
-that one alone.
+The tree: a line goes down by its number of tokens, then by its leading tokens (one in lines of fewer than LONG
+tokens, three in longer ones), to a leaf. Tokens with a digit are variable fields from the start. Within a leaf the
+lines' own tokens tell what else is variable: a token's support is the number of documents whose line has it at that
+place, and a token of half the support or less of the line's middle token is a variable field, wherever in the line
+it stands. A line's template is what is left with its fields open; it holds if no more than a fifth of the tokens
+are open. Lines and templates that occur in several documents recur, and are dropped from all documents but the first.
+Lines of fewer than SHORT tokens have no field that could be left open and are compared whole.
+
+Whatever could be hot (a line of every document, a leaf of very many lines) is counted first. A key of more than a
+thousandth of the rows, and there are fewer than a thousand such, is joined by broadcast; the others shuffle.
 """
 
 from __future__ import annotations
@@ -13,79 +17,104 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEADING = 3
-RUNS = 5
-#: Lines of fewer tokens have no template with an open run, which would leave too little to decide.
+from gridloom.llm.common import hash_pair, weighted_join, written
+
+#: Lines of fewer tokens are compared whole.
 SHORT = 5
-#: Shorter lines have one leading token.
-MIN_OPEN = LEADING + 2 * RUNS
-#: What recurs by chance more easily, the templates of lines below SHORT and the open ones below MIN_OPEN, needs MIN_DOCS_WEAK.
+#: Lines of so many tokens have LEADING leading tokens instead of one.
+LONG, LEADING = 13, 3
+#: One in so many tokens of a template may be open.
+OPEN = 5
+#: What recurs by chance more easily, lines below SHORT and the templates of lines below LONG, needs MIN_DOCS_WEAK documents.
 MIN_DOCS, MIN_DOCS_WEAK = 2, 3
-VARIABLE = "[^ ]*[0-9][^ ]*"
+FIELD = "<*>"
+#: A token with a digit; looked for at the beginning of tokens only, so a long token is read once.
+VARIABLE = "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 
 
 def masked(line: Column) -> Column:
-    """The line without outer spaces, variable fields as <*>."""
+    """The line with single spaces between its tokens and variable fields open; as it is if it has nothing else; null if it is blank."""
     trimmed = F.trim(line)
-    return F.when(trimmed.rlike("[0-9]"), F.regexp_replace(trimmed, VARIABLE, "<*>")).otherwise(trimmed)
+    single = F.when(trimmed.contains("  "), F.regexp_replace(trimmed, " {2,}", " ")).otherwise(trimmed)
+    opened = F.regexp_replace(single, VARIABLE, FIELD)
+    some = F.when(F.replace(F.replace(opened, F.lit(FIELD)), F.lit(" ")) == "", single).otherwise(opened)
+    return F.when(~single.rlike(r"\S"), F.lit(None)).when(single.rlike("[0-9]"), some).otherwise(single)
 
 
-def templates(line: Column, min_tokens: int = 1, min_open: int = SHORT) -> Column:
-    """Hashes of the templates of a line: the tree path and all runs but one, for each run.
+def templates(lines: DataFrame) -> DataFrame:
+    """Of different lines (m, n, h1, h2, docs, first, leaf) those that have a template: the same and t1, t2, the template's hashes."""
+    leaves = lines.groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1").select(*hash_pair("l", "leaf"), "lines")
+    near = weighted_join(lines.withColumns(dict(zip(("l1", "l2"), hash_pair("l", "leaf"), strict=True))), written(leaves), ["l1", "l2"], "lines", ["lines"], "inner").drop("l1", "l2", "lines")
+    lead = F.when(F.col("n") < LONG, 1).otherwise(LEADING)
+    each = near.select("h1", "h2", "n", "docs", "first", "leaf", lead.alias("lead"), F.posexplode(F.split("m", " ")).alias("at", "token")).where("at >= lead").drop("lead")
+    tokens = written(each.withColumns(dict(zip(("k1", "k2"), hash_pair("k", "leaf", "at", "token"), strict=True))))
+    shared = tokens.groupBy("k1", "k2").agg(F.count("*").alias("lines"), F.sum("docs").alias("support")).where("lines > 1")
+    known = weighted_join(tokens, written(shared), ["k1", "k2"], "lines", ["support"], "left").withColumn("support", F.coalesce("support", "docs"))
+    line = known.groupBy("h1", "h2").agg(*[F.min(c).alias(c) for c in ("n", "docs", "first", "leaf")], F.sort_array(F.collect_list(F.struct("at", "token", "support"))).alias("parts"))
+    middle = F.sort_array(F.col("parts.support"))[((F.size("parts") - 1) / 2).cast("int")]
+    marked = line.withColumn("middle", middle).withColumn("supports", F.col("parts.support"))
+    opened = F.transform("parts", lambda p: F.when(p["support"] * 2 <= F.col("middle"), FIELD).otherwise(p["token"]))
+    fields = F.size(F.filter("supports", lambda s: s * 2 <= F.col("middle")))
+    kept = marked.where(fields * OPEN <= F.col("n")).withColumn("template", F.array_join(opened, " "))
+    return kept.select("h1", "h2", "n", "docs", "first", *hash_pair("t", "leaf", "template"))
 
-    A line of fewer than MIN_OPEN tokens has the template of all its tokens, and open ones behind its first
-    token if it has min_open tokens; one of fewer than min_tokens has none. Longer lines that are the same in
-    full share all their templates, so they need no template of their own. The lowest bit of a hash is set
-    for templates that need MIN_DOCS_WEAK documents. A line of fewer than SHORT tokens keeps its variable
-    fields if it has nothing else: numbers alone are not alike.
-    """
 
-    def of(tokens: Column) -> Column:
-        n = F.size(tokens)
-        leading = F.when(n < MIN_OPEN, 1).otherwise(LEADING)
-        ends = [leading + F.floor((n - leading) * i / F.lit(RUNS)).cast("int") for i in range(RUNS + 1)]
-        part = lambda a, b: F.xxhash64(F.slice(tokens, a + 1, b - a))
-        hashes = [part(ends[i], ends[i + 1]) for i in range(RUNS)]
-        opened = F.transform(
-            F.array(F.struct(n.alias("n"), F.xxhash64(F.slice(tokens, 1, leading)).alias("lead"), F.array(*hashes).alias("runs"))),
-            lambda s: F.array(*[F.xxhash64(F.lit(i), s["n"], s["lead"], *[s["runs"][j] for j in range(RUNS) if j != i]) for i in range(RUNS)]),
-        )[0]
-        firm, weak = (lambda t: t.bitwiseAND(F.lit(-2))), (lambda t: t.bitwiseOR(F.lit(1)))
-        whole = F.xxhash64(F.lit(-1), n, tokens)
-        short = F.when(F.forall(tokens, lambda w: w == "<*>"), F.xxhash64(F.lit(-2), F.trim(line))).otherwise(whole)
-        none = F.array().cast("array<bigint>")
-        blank = (n < SHORT) & ~F.exists(tokens, lambda w: w.rlike(r"\S"))
-        found = F.when((n < min_tokens) | blank, none).when(n < SHORT, F.array(weak(short))).when(n < min(min_open, MIN_OPEN), F.array(firm(whole)))
-        return found.when(n < MIN_OPEN, F.concat(F.array(firm(whole)), F.transform(opened, weak))).otherwise(F.transform(opened, firm))
-
-    return F.transform(F.array(F.array_remove(F.split(masked(line), " "), "")), of)[0]
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_docs_weak: int = MIN_DOCS_WEAK, min_tokens: int = 1, min_open: int = SHORT) -> DataFrame:
+def recurring(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_docs_weak: int) -> DataFrame:
+    """k1, k2 (hashes of id and text) of documents that lose lines, and drop: the hashes (h1, h2) of those."""
+    weak = max(min_docs, min_docs_weak)
+    lines = F.array_compact(F.array_distinct(F.transform(F.split("text", "\n"), masked)))
+    each = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    placed = each.select("id", *hash_pair("k", "id", "text"), F.explode(lines).alias("m"))
+    counted = placed.groupBy("m").agg(F.count("*").alias("docs"), F.min("id").alias("first"))
+    n = F.size(F.split("m", " "))
+    leaf = F.concat_ws(" ", "n", F.substring_index("m", " ", 1), F.when(F.col("n") >= LONG, F.substring_index(F.substring_index("m", " ", LEADING), " ", 1 - LEADING)))
+    only_fields = F.replace(F.replace("m", F.lit(FIELD)), F.lit(" ")) == ""
+    different = written(counted.withColumn("n", n).withColumns({"leaf": F.when((F.col("n") >= SHORT) & ~only_fields, leaf)} | dict(zip(("h1", "h2"), hash_pair("h", "m"), strict=True))))
+    generalised = templates(different.where("leaf IS NOT NULL"))
+    whole = different.where(F.col("docs") >= min_docs).select("h1", "h2", "n", "docs", "first", F.lit(None).cast("long").alias("t1"), F.lit(None).cast("long").alias("t2"))
+    watched = whole.union(generalised).groupBy("h1", "h2").agg(*[F.max(c).alias(c) for c in ("n", "docs", "first", "t1", "t2")])
+    narrow = placed.select("id", "k1", "k2", *hash_pair("h", "m"))
+    found = written(weighted_join(narrow, written(watched), ["h1", "h2"], "docs", ["n", "docs", "first", "t1", "t2"], "inner"))
+    # a row counts once for a template, however many of its lines have it; rows alike in id and text each count
+    copies = found.where("t1 IS NOT NULL").groupBy("t1", "t2", "k1", "k2", "h1", "h2").agg(F.count("*").alias("c"), F.min("id").alias("id"))
+    rows = copies.groupBy("t1", "t2", "k1", "k2").agg(F.max("c").alias("c"), F.min("id").alias("id"), F.sum("c").alias("lines"))
+    counts = rows.groupBy("t1", "t2").agg(F.sum("c").alias("t_docs"), F.min("id").alias("t_first"), F.sum("lines").alias("lines")).where(F.col("t_docs") >= min_docs)
+    judged = weighted_join(found, written(counts), ["t1", "t2"], "lines", ["t_docs", "t_first"], "left")
+    elsewhere = lambda c: F.col(c).isNotNull() & F.coalesce(F.col("id") != F.col(c), F.lit(True))
+    line = (F.col("docs") >= F.when(F.col("n") < SHORT, weak).otherwise(min_docs)) & elsewhere("first")
+    template = (F.col("t_docs") >= F.when(F.col("n") < LONG, weak).otherwise(min_docs)) & elsewhere("t_first")
+    return judged.where(line | F.coalesce(template, F.lit(False))).groupBy("k1", "k2").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_docs_weak: int = MIN_DOCS_WEAK) -> DataFrame:
     """All rows and columns of docs, text without recurring lines; and __lines, __dropped, their numbers.
 
-    A line goes if one of its templates occurs in min_docs rows or more (min_docs_weak for weak ones, see
+    A line goes if it or its template occurs in min_docs rows or more (min_docs_weak for weak ones, see
     MIN_DOCS_WEAK), unless the row has the smallest id of those: the first document keeps what recurs. A row
-    counts once for a template. Blank lines and lines of fewer than min_tokens tokens stay; those below
-    min_open tokens have no open template. A null text stays null, with 0 lines; a row with a null id is never first; if all rows of a template have none, its lines
-    stay. Rows of the same id and text get the same result. An empty
-    table gives an empty table. Other columns come along, whatever their names; where they are called
-    __lines or __dropped, the numbers get one more underscore in front.
+    counts once for a line or template. Blank lines stay. Lines of nothing but variable fields are compared as they
+    are: numbers alone are not alike. A null text stays null, with 0 lines; a row with a null id is never first; if
+    all rows of a line have none, it stays. Rows of the same id and text get the same result. An empty table gives
+    an empty table. Other columns come along, whatever their names; where they are called __lines or __dropped,
+    the numbers get one more underscore in front. Tables of lines are written to spark.checkpoint.dir.
     """
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
-    lines = held.where(F.col("text").isNotNull()).select("id", "key", F.transform(F.split("text", "\n"), lambda x: templates(x, min_tokens, min_open)).alias("ts"))
-    each = lines.select("id", F.explode(F.array_distinct(F.flatten("ts"))).alias("t"))
-    recurring = each.groupBy("t").agg(F.count("*").alias("docs"), F.min("id").alias("first")).where(F.col("docs") >= F.when(F.col("t") % 2 == 0, min_docs).otherwise(max(min_docs, min_docs_weak))).select("t", "first")
-    # outer: a plain one brings a filter on the array, for which the templates would be computed again
-    placed = lines.select("id", "key", F.posexplode_outer("ts").alias("pos", "l")).select("id", "key", "pos", F.explode("l").alias("t"))
-    hit = placed.join(recurring, "t").where(F.col("first").isNotNull() & F.coalesce(F.col("id") != F.col("first"), F.lit(True)))
-    drop = hit.groupBy("key").agg(F.collect_set("pos").alias("drop"))
-    joined = held.select("row", "key").join(drop, "key", "left")
+    drop = recurring(docs, id_col, text_col, min_docs, min_docs_weak)
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *hash_pair("k", F.col(id_col), F.col(text_col)))
+    joined = held.join(drop, ["k1", "k2"], "left")
     whole = F.col(f"row.`{text_col}`")
+    # hashes in about as many slots as each then holds: a line is looked for in one
+    slots = F.ceil(F.sqrt(F.size("drop")))
+    dealt = joined.withColumn("slots", F.transform(F.sequence(F.lit(0).cast("bigint"), slots - 1), lambda b: F.filter("drop", lambda d: F.pmod(d["h1"], slots) == b)))
+
+    def stays(line: Column) -> Column:
+        h = F.transform(F.array(masked(line)), lambda m: F.struct(*hash_pair("h", m)))[0]
+        gone = F.transform(F.array(h), lambda x: F.array_contains(F.col("slots")[F.pmod(x["h1"], slots).cast("int")], x))[0]
+        return F.when(masked(line).isNull(), True).otherwise(~gone)
+
     split = F.split(whole, "\n")
-    kept = F.filter(F.transform(split, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("drop"), s["i"]))
-    text = F.when(F.col("drop").isNull(), whole).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
+    kept = F.when(F.col("drop").isNotNull(), F.filter(split, stays))
+    result = dealt.withColumn("kept", kept)
+    text = F.when(F.col("drop").isNull(), whole).otherwise(F.array_join("kept", "\n"))
     columns = [(text if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
     free = lambda c: c if c not in docs.columns else free(f"_{c}")
-    counts = [F.when(whole.isNull(), 0).otherwise(F.size(split)).alias(free("__lines")), F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).alias(free("__dropped"))]
-    return joined.select(*columns, *counts)
+    n = F.when(whole.isNull(), 0).otherwise(F.size(split))
+    return result.select(*columns, n.alias(free("__lines")), F.when(F.col("drop").isNull(), 0).otherwise(n - F.size("kept")).alias(free("__dropped")))

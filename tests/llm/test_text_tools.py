@@ -10,7 +10,7 @@ import public_tokenizers
 import sentencepiece
 from tokenizers import Tokenizer
 
-from gridloom.llm import entry, linededup, packing, pagetext, pieces, warc
+from gridloom.llm import common, entry, linededup, packing, pagetext, pieces, warc
 from gridloom.llm.common import table
 from tests.compare import same
 from tests.llm.common import odd_docs, run
@@ -226,6 +226,36 @@ def test_line_dedup_open_field_in_lines_of_few_tokens(spark):
     assert {r["__dropped"] for r in linededup.dedup_lines(odd_docs(spark, rows[:2])).collect()} == {0}
 
 
+def test_line_dedup_fields_anywhere(spark):
+    line = "The job of the user {} in queue {} was run by the host {} and ended without an error"
+    rows = [(i, line.format(*(w * i for w in ("u", "v", "w"))) + f"\nwords {'a' * i} {'b' * i} {'c' * i} {'d' * i} that {'e' * i} are {'f' * i} all {'g' * i} open {'h' * i}", None) for i in (1, 2, 3)]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(odd_docs(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: rows[1][1].split("\n")[1], 3: rows[2][1].split("\n")[1]}
+
+
+def test_line_dedup_hot_keys_give_the_same(spark, sf_dir, duck, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 20)
+    same(run("op8_line_dedup", spark, sf_dir), duck, entry.ORACLE_SQL["op8_line_dedup"])
+
+
+def test_weighted_join(spark, monkeypatch):
+    left = spark.createDataFrame([(k % 7 if k % 3 else 1, k) for k in range(100)] + [(None, 100)], "k long, v long")
+    right = spark.createDataFrame([(1, 50, "a"), (2, 9, "b"), (3, 9, "c")], "k long, n long, x string")
+    want = {how: sorted(left.join(right.select("k", "x"), "k", how).collect()) if how == "inner" else left.join(right.select("k", "x"), "k", how).count() for how in ("inner", "left")}
+    for hot in (1000, 4, 1):
+        monkeypatch.setattr(common, "HOT", hot)
+        assert sorted(common.weighted_join(left, right, ["k"], "n", ["x"], "inner").collect()) == want["inner"]
+        assert common.weighted_join(left, right, ["k"], "n", ["x"], "left").count() == want["left"]
+
+
+def test_masked_lines_of_hostile_length(spark):
+    began = time.perf_counter()
+    rows = [(i, t, None) for i, t in enumerate(("a" * 1000000, "1" + "a" * 1000000, "a1" * 500000, " " * 1000000, "\n" * 200000, "x y\n" * 100000, "".join(f"line {chr(97 + k % 26) * (k % 50)} of text here\n" for k in range(20000))))]
+    rows.append((9, rows[-1][1], None))
+    got = {r.doc_id: r["__dropped"] for r in linededup.dedup_lines(odd_docs(spark, rows)).collect()}
+    assert got[9] > 19000 and not any(got[i] for i in range(6)) and time.perf_counter() - began < 90
+
+
 def test_line_dedup_odd_rows(spark):
     docs = odd_docs(spark)
     out = linededup.dedup_lines(docs)
