@@ -154,32 +154,49 @@ def test_quality_odd_rows(spark):
     assert quality.scored(docs.limit(0), labels).collect() == [] and len(quality.scored(docs, labels.limit(0)).collect()) == docs.count()
 
 
+NOTICES = {"Licensed under CC BY-NC 4.0.": "cc-by-nc", "Licensed under the Apache License, Version 2.0.": "apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0", "Released under the MIT License.": "mit", "All rights reserved.": "all-rights-reserved"}
+
+
 def test_licences(spark, sf_dir):
     docs = {r.doc_id: r.text for r in table(spark, sf_dir, "documents").collect()}
-    want = {"Licensed under CC BY-NC 4.0.": "cc-by-nc", "Licensed under the Apache License, Version 2.0.": "apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0", "Released under the MIT License.": "mit", "All rights reserved.": "all-rights-reserved"}
-    planted = {(i, k): want[x] for i, t in docs.items() for k, x in enumerate((t or "").split("\n")) if x in want}
-    got = {(r.doc_id, r.paragraph): r.family for r in run("op3_licenses", spark, sf_dir).collect() if r.confirmed}
-    assert planted and got == planted
+    planted = {(i, NOTICES[x]) for i, t in docs.items() for x in (t or "").split("\n") if x in NOTICES}
+    rows = run("op3_licenses", spark, sf_dir).collect()
+    assert planted and {(r.doc_id, r.family) for r in rows if r.confirmed} == planted
+    assert len({(r.doc_id, r.family) for r in rows} - planted) < len(docs) / 50  # unconfirmed ones that nobody planted
+
+
+def plain_rows(model, docs):
+    return sorted((str(i), *x[:3], round(x[3], 9), round(x[4], 9)) for i, t in docs for x in model.segments(t or ""))
+
+
+def spark_rows(df):
+    return sorted((str(r.doc_id), r.paragraph, r.segment, r.family, round(r.score, 9), round(r.similarity, 9)) for r in df.collect())
+
+
+def test_licences_are_brute_force(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    prose = " ".join(" ".join(r.text.split()) for r in docs.collect())
+    notices = [*NOTICES, "Released under CC BY 4.0.", "Distributed under the GNU GPL v3", "Apache-2.0", *[t for ts in licenses.TEMPLATES.values() for t in ts]]
+    lines = [prose[i * 997 : i * 997 + (37 * i) % 4000] + f"\n{x}\n" * (i % 2) + "\n \t\n" * (i % 3) + x for i, x in enumerate(notices)]
+    extra = [(i, t) for i, t in enumerate(lines, 10**6)] + [(1, "\n\n".join(notices)), (2, " ".join(notices)), (3, prose[:200000]), (4, "\n\n\n"), (None, notices[0])]
+    both = docs.union(spark.createDataFrame(extra, docs.schema))
+    model = licenses.fit(docs)
+    want = plain_rows(model, [(r.doc_id, r.text) for r in both.collect()])
+    assert spark_rows(licenses.scan(both, model)) == want and len(want) > len(notices)
+
+
+def test_licences_of_wrapped_and_embedded_notices(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:"
+    filler = " ".join(f"{w} river {k}" for k, w in enumerate(["mountain", "lake", "summer", "winter"] * 100))
+    rows = [(1, f"Some words first.\n\n{mit}\n\nAnd more.", None), (2, f"{filler} Licensed under CC BY-SA 4.0. {filler}", None), (3, "This work is licensed under a Creative\nCommons Attribution 4.0 International License.", None)]
+    got = {(r.doc_id, r.paragraph, r.family) for r in licenses.scan(odd_docs(spark, rows), licenses.train()).collect() if r.confirmed}
+    assert got == {(1, 1, "mit"), (2, 0, "cc-by-sa"), (3, 0, "cc-by")}
 
 
 def test_licences_unknown_and_odd(spark):
-    rows = [(1, "A fishing license costs ten dollars.\nlicensed under the BSD license", None), (2, "Human rights are protected by law", None), (3, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", None)]
-    got = {(r.doc_id, r.family, r.confirmed) for r in licenses.scan(odd_docs(spark, rows)).collect()}
-    assert got == {(1, "bsd", True), (3, "bsd", True)}
+    rows = [(1, "A fishing license costs ten dollars.\n\nlicensed under the BSD license", None), (2, "Human rights are protected by law", None), (3, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", None)]
+    got = {(r.doc_id, r.paragraph, r.family) for r in licenses.scan(odd_docs(spark, rows)).collect()}
+    assert got == {(1, 1, "bsd"), (3, 0, "bsd")}
     docs = odd_docs(spark)
-    assert sorted((r.doc_id, r.family) for r in licenses.scan(docs).collect()) == [(1, "mit"), (1, "mit"), (8, "all-rights-reserved")]
+    assert sorted((r.doc_id, r.family, r.confirmed) for r in licenses.scan(docs).collect()) == [(1, "mit", True), (1, "mit", True), (8, "all-rights-reserved", True)]
     assert licenses.scan(docs.limit(0)).collect() == [] and LONG
-
-
-def test_licences_of_every_line(spark, sf_dir):
-    model = licenses.Model()
-    lines = ["Released under CC BY 4.0.", "Available under Creative Commons Attribution-ShareAlike 4.0", "Free and unencumbered, released into the public domain", "under the terms of the GNU General Public", "Apache-2.0", ""]
-    docs = odd_docs(spark, [(1, "\n".join(lines), None)]).select("doc_id", "text").union(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    want = {}
-    for r in docs.collect():
-        for k, line in enumerate((r.text or "").split("\n")):
-            p = model.softmax([z / model.temperature for z in model.logits(licenses.features_of(licenses.words_of(line)))])
-            if (family := model.families[p.index(max(p))]) != licenses.UNKNOWN and max(p) >= model.least:
-                want[r.doc_id, k, line] = family
-    got = {(r.doc_id, r.paragraph, r.text): r.family for r in licenses.scan(docs, model).collect()}
-    assert got == want and got[1, 0, lines[0]] == "cc-by" and got[1, 1, lines[1]] == "cc-by-sa"
