@@ -83,13 +83,14 @@ p AS (SELECT k, doc_id, pos, list_filter(string_split(line, ' '), lambda x: x <>
   list_transform(own, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS opened FROM l WHERE regexp_matches(line, '\S')),
 w AS (SELECT k, doc_id, pos, CASE WHEN len(list_filter(opened, lambda x: x <> '<*>')) = 0 THEN own ELSE opened END AS w, array_to_string(w, ' ') AS m FROM p),
 u AS (SELECT m, any_value(w) AS w, len(any_value(w)) AS n, count(DISTINCT k) AS docs, min(doc_id) AS first FROM w GROUP BY m),
-leaf AS (SELECT *, CASE WHEN n < 13 THEN 1 ELSE 3 END AS lead, w[1:(CASE WHEN n < 13 THEN 1 ELSE 3 END)] AS path FROM u
+leaf AS (SELECT *, CASE WHEN n < 13 THEN 1 ELSE greatest(3, n // 4) END AS lead, n - lead AS rest, least(12, rest) AS many, w[1:lead] AS path FROM u
   WHERE n >= 5 AND len(list_filter(w, lambda x: x <> '<*>')) > 0),
-t AS (SELECT m, n, path, docs, unnest(w) AS token, generate_subscripts(w, 1) AS place, lead FROM leaf),
-s AS (SELECT m, n, path, place, token, sum(docs) OVER (PARTITION BY n, path, place, token) AS support FROM t WHERE place > lead),
-o AS (SELECT m, n, path, list(token ORDER BY place) AS tokens, list(support ORDER BY place) AS supports, list_sort(list(support))[(count(*) + 1) // 2] AS middle FROM s GROUP BY m, n, path),
-g AS (SELECT m, n, path, list_transform(list_zip(tokens, supports), lambda x: CASE WHEN x[2] * 2 <= middle THEN '<*>' ELSE x[1] END) AS template
-  FROM o WHERE len(list_filter(supports, lambda x: x * 2 <= middle)) * 5 <= n),
+t AS (SELECT *, unnest(range(many)) AS place FROM leaf),
+s AS (SELECT m, n, path, place, ((place + 1) * rest) // many - (place * rest) // many AS width,
+  array_to_string(w[lead + (place * rest) // many + 1 : lead + ((place + 1) * rest) // many], ' ') AS word, sum(docs) OVER (PARTITION BY n, path, place, word) AS support FROM t),
+o AS (SELECT m, n, path, list({'word': word, 'width': width, 'support': support} ORDER BY place) AS parts, list_sort(list(support))[(count(*) + 1) // 2] AS middle FROM s GROUP BY m, n, path),
+g AS (SELECT m, n, path, list_transform(parts, lambda x: CASE WHEN x.support * 2 <= middle THEN '<*>' ELSE x.word END) AS template
+  FROM o WHERE list_sum(list_transform(parts, lambda x: CASE WHEN x.support * 2 <= middle THEN x.width ELSE 0 END)) * 5 <= n),
 gd AS (SELECT n, path, template, count(DISTINCT k) AS docs, min(doc_id) AS first FROM g JOIN w USING (m) GROUP BY n, path, template),
 r AS (SELECT m, first FROM u WHERE docs >= CASE WHEN n < 5 THEN 3 ELSE 2 END
   UNION ALL SELECT m, gd.first FROM g JOIN gd USING (n, path, template) WHERE gd.docs >= CASE WHEN n < 13 THEN 3 ELSE 2 END),

@@ -20,6 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import once
 from gridloom.llm.samples import labelled_sample
 
 # Notices of public licences, by family: short ones first, then the paragraphs of whole ones.
@@ -232,11 +233,6 @@ def numbers(values: list, kind: str = "double") -> Column:
     return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
 
 
-def once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """df with a column that is computed once: neither filters nor projections are moved through a generator."""
-    return df.withColumn(name, F.explode(F.array(value)))
-
-
 def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each family in a segment of a paragraph: doc_id, paragraph, segment (both from 0), family, score, similarity, confirmed, text.
 

@@ -1,15 +1,18 @@
 """Removal of recurring lines by a fixed-depth tree of log templates, in DataFrame operations only.
 
 The tree: a line goes down by its number of tokens, then by its leading tokens (one in lines of fewer than LONG
-tokens, three in longer ones), to a leaf. Tokens with a digit are variable fields from the start. Within a leaf the
-lines' own tokens tell what else is variable: a token's support is the number of documents whose line has it at that
-place, and a token of half the support or less of the line's middle token is a variable field, wherever in the line
-it stands. A line's template is what is left with its fields open; it holds if no more than a fifth of the tokens
-are open. Lines and templates that occur in several documents recur, and are dropped from all documents but the first.
-Lines of fewer than SHORT tokens have no field that could be left open and are compared whole.
-
-Whatever could be hot (a line of every document, a leaf of very many lines) is counted first. A key of more than a
-thousandth of the rows, and there are fewer than a thousand such, is joined by broadcast; the others shuffle.
+tokens, a quarter of them in longer ones, three at least), to a leaf. Tokens with a digit are variable fields from
+the start. Within a leaf the lines' own words tell what else is variable: what stands behind the leading tokens is cut
+into PLACES places of like length, single tokens in lines that are not much longer, and a place's support is the number
+of documents whose line has the same there. A place of half the support or less of the line's middle place is a
+variable field, wherever in the line it stands. A line's template is what is left with its fields open; it holds if no
+more than a fifth of the tokens are open. Lines and templates that occur in several documents recur, and are dropped
+from all documents but the first. Lines of fewer than SHORT tokens have no field that could be left open and are
+compared whole.
+
+Lines travel as hashes: 128 bits stand for a line, 32 for a place within its leaf. What could be hot (a line of every
+document, a leaf of very many lines) is counted first. A key of more than a thousandth of the rows, and there are
+fewer than a thousand such, is joined by broadcast; the others shuffle.
 """
 
 from __future__ import annotations
@@ -17,12 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import hash_pair, weighted_join, written
+from gridloom.llm.common import hash_pair, once, weighted_join, written
 
 #: Lines of fewer tokens are compared whole.
 SHORT = 5
-#: Lines of so many tokens have LEADING leading tokens instead of one.
+#: Lines of so many tokens have LEADING leading tokens or more instead of one.
 LONG, LEADING = 13, 3
+#: Places that a line's other tokens are cut into at most.
+PLACES = 12
 #: One in so many tokens of a template may be open.
 OPEN = 5
 #: What recurs by chance more easily, lines below SHORT and the templates of lines below LONG, needs MIN_DOCS_WEAK documents.
@@ -41,22 +46,39 @@ def masked(line: Column) -> Column:
     return F.when(~single.rlike(r"\S"), F.lit(None)).when(single.rlike("[0-9]"), some).otherwise(single)
 
 
+def placed(line: Column) -> Column:
+    """A masked line's hashes h1, h2; its number of tokens n, its leaf and its places, which lines of fewer than SHORT tokens or of fields only lack."""
+
+    def of(tokens: Column) -> Column:
+        n = F.size(tokens)
+        lead = F.when(n < LONG, 1).otherwise(F.greatest(F.lit(LEADING), F.floor(n / 4))).cast("int")
+        rest = n - lead
+        many = F.least(F.lit(PLACES), rest)
+        edge = lambda i: F.floor(i * rest / many).cast("int")
+        place = lambda i: F.xxhash64(F.slice(tokens, lead + edge(i) + 1, edge(i + 1) - edge(i))).cast("string").substr(-9, 9).cast("int")
+        has_leaf = (n >= SHORT) & F.exists(tokens, lambda t: t != FIELD)
+        leaf = F.when(has_leaf, F.xxhash64(n, F.slice(tokens, 1, lead)))
+        return F.struct(n.alias("n"), leaf.alias("leaf"), F.when(has_leaf, F.transform(F.sequence(F.lit(0), many - 1), place)).alias("places"))
+
+    return F.transform(F.array(F.split(line, " ")), of)[0]
+
+
 def templates(lines: DataFrame) -> DataFrame:
-    """Of different lines (m, n, h1, h2, docs, first, leaf) those that have a template: the same and t1, t2, the template's hashes."""
-    leaves = lines.groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1").select(*hash_pair("l", "leaf"), "lines")
-    near = weighted_join(lines.withColumns(dict(zip(("l1", "l2"), hash_pair("l", "leaf"), strict=True))), written(leaves), ["l1", "l2"], "lines", ["lines"], "inner").drop("l1", "l2", "lines")
-    lead = F.when(F.col("n") < LONG, 1).otherwise(LEADING)
-    each = near.select("h1", "h2", "n", "docs", "first", "leaf", lead.alias("lead"), F.posexplode(F.split("m", " ")).alias("at", "token")).where("at >= lead").drop("lead")
-    tokens = written(each.withColumns(dict(zip(("k1", "k2"), hash_pair("k", "leaf", "at", "token"), strict=True))))
-    shared = tokens.groupBy("k1", "k2").agg(F.count("*").alias("lines"), F.sum("docs").alias("support")).where("lines > 1")
-    known = weighted_join(tokens, written(shared), ["k1", "k2"], "lines", ["support"], "left").withColumn("support", F.coalesce("support", "docs"))
-    line = known.groupBy("h1", "h2").agg(*[F.min(c).alias(c) for c in ("n", "docs", "first", "leaf")], F.sort_array(F.collect_list(F.struct("at", "token", "support"))).alias("parts"))
-    middle = F.sort_array(F.col("parts.support"))[((F.size("parts") - 1) / 2).cast("int")]
-    marked = line.withColumn("middle", middle).withColumn("supports", F.col("parts.support"))
-    opened = F.transform("parts", lambda p: F.when(p["support"] * 2 <= F.col("middle"), FIELD).otherwise(p["token"]))
-    fields = F.size(F.filter("supports", lambda s: s * 2 <= F.col("middle")))
-    kept = marked.where(fields * OPEN <= F.col("n")).withColumn("template", F.array_join(opened, " "))
-    return kept.select("h1", "h2", "n", "docs", "first", *hash_pair("t", "leaf", "template"))
+    """Of different lines (h1, h2, n, leaf, places, docs, first) those that have a template: h1, h2, n, docs, first and t1, t2, the template's hashes."""
+    leaves = lines.groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1")
+    near = weighted_join(lines, written(leaves), ["leaf"], "lines", ["lines"], "inner").drop("lines")
+    each = near.select("h1", "h2", "n", "docs", "first", "leaf", F.size("places").alias("many"), F.posexplode("places").alias("at", "word"))
+    words = written(each.withColumns(dict(zip(("w1", "w2"), hash_pair("w", "leaf", "at", "word"), strict=True))))
+    shared = words.groupBy("w1", "w2").agg(F.count("*").alias("lines"), F.sum("docs").alias("support")).where("lines > 1")
+    known = weighted_join(words, written(shared), ["w1", "w2"], "lines", ["support"], "left").withColumn("support", F.coalesce("support", "docs"))
+    line = known.groupBy("h1", "h2", "n", "leaf", "many", "docs", "first").agg(F.sort_array(F.collect_list(F.struct("at", "word", "support"))).alias("parts"))
+    lead = F.when(F.col("n") < LONG, 1).otherwise(F.greatest(F.lit(LEADING), F.floor(F.col("n") / 4))).cast("int")
+    edge = lambda i: F.floor(i * (F.col("n") - lead) / F.col("many")).cast("int")
+    middle = F.element_at(F.sort_array(F.col("parts.support")), ((F.size("parts") + 1) / 2).cast("int"))
+    marked = once(line, "middle", middle)
+    opened = F.transform("parts", lambda p: F.when(p["support"] * 2 > F.col("middle"), p["word"]))
+    tokens = F.aggregate("parts", F.lit(0), lambda acc, p: acc + F.when(p["support"] * 2 > F.col("middle"), 0).otherwise(edge(p["at"] + 1) - edge(p["at"])))
+    return marked.where(tokens * OPEN <= F.col("n")).withColumn("opened", opened).select("h1", "h2", "n", "docs", "first", *hash_pair("t", "leaf", F.transform("opened", lambda x: F.coalesce(x, F.lit(-1)))))
 
 
 def recurring(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_docs_weak: int) -> DataFrame:
@@ -64,16 +86,13 @@ def recurring(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_do
     weak = max(min_docs, min_docs_weak)
     lines = F.array_compact(F.array_distinct(F.transform(F.split("text", "\n"), masked)))
     each = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    placed = each.select("id", *hash_pair("k", "id", "text"), F.explode(lines).alias("m"))
-    counted = placed.groupBy("m").agg(F.count("*").alias("docs"), F.min("id").alias("first"))
-    n = F.size(F.split("m", " "))
-    leaf = F.concat_ws(" ", "n", F.substring_index("m", " ", 1), F.when(F.col("n") >= LONG, F.substring_index(F.substring_index("m", " ", LEADING), " ", 1 - LEADING)))
-    only_fields = F.replace(F.replace("m", F.lit(FIELD)), F.lit(" ")) == ""
-    different = written(counted.withColumn("n", n).withColumns({"leaf": F.when((F.col("n") >= SHORT) & ~only_fields, leaf)} | dict(zip(("h1", "h2"), hash_pair("h", "m"), strict=True))))
+    every = each.select("id", *hash_pair("k", "id", "text"), F.explode(lines).alias("m"))
+    parts = once(every.select("id", *hash_pair("h", "m"), "m"), "p", placed(F.col("m"))).select("id", "h1", "h2", "p.*")
+    different = written(parts.groupBy("h1", "h2", "n", "leaf", "places").agg(F.count("*").alias("docs"), F.min("id").alias("first")))
     generalised = templates(different.where("leaf IS NOT NULL"))
     whole = different.where(F.col("docs") >= min_docs).select("h1", "h2", "n", "docs", "first", F.lit(None).cast("long").alias("t1"), F.lit(None).cast("long").alias("t2"))
-    watched = whole.union(generalised).groupBy("h1", "h2").agg(*[F.max(c).alias(c) for c in ("n", "docs", "first", "t1", "t2")])
-    narrow = placed.select("id", "k1", "k2", *hash_pair("h", "m"))
+    watched = whole.union(generalised).groupBy("h1", "h2", "n", "docs", "first").agg(F.max("t1").alias("t1"), F.max("t2").alias("t2"))
+    narrow = every.select("id", "k1", "k2", *hash_pair("h", "m"))
     found = written(weighted_join(narrow, written(watched), ["h1", "h2"], "docs", ["n", "docs", "first", "t1", "t2"], "inner"))
     # a row counts once for a template, however many of its lines have it; rows alike in id and text each count
     copies = found.where("t1 IS NOT NULL").groupBy("t1", "t2", "k1", "k2", "h1", "h2").agg(F.count("*").alias("c"), F.min("id").alias("id"))
@@ -103,7 +122,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = F.col(f"row.`{text_col}`")
     # hashes in about as many slots as each then holds: a line is looked for in one
     slots = F.ceil(F.sqrt(F.size("drop")))
-    dealt = joined.withColumn("slots", F.transform(F.sequence(F.lit(0).cast("bigint"), slots - 1), lambda b: F.filter("drop", lambda d: F.pmod(d["h1"], slots) == b)))
+    dealt = once(joined, "slots", F.transform(F.sequence(F.lit(0).cast("bigint"), slots - 1), lambda b: F.filter("drop", lambda d: F.pmod(d["h1"], slots) == b)))
 
     def stays(line: Column) -> Column:
         h = F.transform(F.array(masked(line)), lambda m: F.struct(*hash_pair("h", m)))[0]
@@ -112,7 +131,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     split = F.split(whole, "\n")
     kept = F.when(F.col("drop").isNotNull(), F.filter(split, stays))
-    result = dealt.withColumn("kept", kept)
+    result = once(dealt, "kept", kept)
     text = F.when(F.col("drop").isNull(), whole).otherwise(F.array_join("kept", "\n"))
     columns = [(text if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
     free = lambda c: c if c not in docs.columns else free(f"_{c}")

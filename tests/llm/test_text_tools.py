@@ -227,7 +227,7 @@ def test_line_dedup_open_field_in_lines_of_few_tokens(spark):
 
 
 def test_line_dedup_fields_anywhere(spark):
-    line = "The job of the user {} in queue {} was run by the host {} and ended without an error"
+    line = "The job of user {} in queue {} ran on host {} without error and was closed"
     rows = [(i, line.format(*(w * i for w in ("u", "v", "w"))) + f"\nwords {'a' * i} {'b' * i} {'c' * i} {'d' * i} that {'e' * i} are {'f' * i} all {'g' * i} open {'h' * i}", None) for i in (1, 2, 3)]
     got = {r.doc_id: r.text for r in linededup.dedup_lines(odd_docs(spark, rows)).collect()}
     assert got == {1: rows[0][1], 2: rows[1][1].split("\n")[1], 3: rows[2][1].split("\n")[1]}
