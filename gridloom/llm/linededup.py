@@ -17,6 +17,8 @@ fewer than a thousand such, is joined by broadcast; the others shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,30 +39,41 @@ FIELD = "<*>"
 VARIABLE = "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), the value computed once however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 def masked(line: Column) -> Column:
     """The line with single spaces between its tokens and variable fields open; as it is if it has nothing else; null if it is blank."""
-    trimmed = F.trim(line)
-    single = F.when(trimmed.contains("  "), F.regexp_replace(trimmed, " {2,}", " ")).otherwise(trimmed)
-    opened = F.regexp_replace(single, VARIABLE, FIELD)
-    some = F.when(F.replace(F.replace(opened, F.lit(FIELD)), F.lit(" ")) == "", single).otherwise(opened)
-    return F.when(~single.rlike(r"\S"), F.lit(None)).when(single.rlike("[0-9]"), some).otherwise(single)
+    bare = lambda opened: F.replace(F.replace(opened, F.lit(FIELD)), F.lit(" ")) == ""
+    opened = lambda s: let(F.regexp_replace(s, VARIABLE, FIELD), lambda o: F.when(bare(o), s).otherwise(o))
+    of = lambda s: F.when(s.rlike("[0-9]"), opened(s)).when(s.rlike(r"\S"), s)
+    return let(F.trim(line), lambda t: F.when(t.contains("  "), let(F.regexp_replace(t, " {2,}", " "), of)).otherwise(of(t)))
+
+
+def leading(n: Column) -> Column:
+    """How many of a line's n tokens lead."""
+    return F.when(n < LONG, 1).otherwise(F.greatest(F.lit(LEADING), (n / 4).cast("int")))
 
 
 def placed(line: Column) -> Column:
-    """A masked line's hashes h1, h2; its number of tokens n, its leaf and its places, which lines of fewer than SHORT tokens or of fields only lack."""
+    """A masked line's number of tokens n, its leaf and its places, which lines of fewer than SHORT tokens or of fields only lack."""
+
+    def places(tokens: Column, s: Column) -> Column:
+        edges = F.transform(F.sequence(F.lit(0), s["many"]), lambda i: s["lead"] + (i * (s["n"] - s["lead"]) / s["many"]).cast("int"))
+        word = lambda a, b: F.pmod(F.xxhash64(F.slice(tokens, a + 1, b - a)), F.lit((1 << 31) - 1)).cast("int")
+        return let(edges, lambda e: F.zip_with(F.slice(e, 1, s["many"]), F.slice(e, 2, s["many"]), word))
 
     def of(tokens: Column) -> Column:
         n = F.size(tokens)
-        lead = F.when(n < LONG, 1).otherwise(F.greatest(F.lit(LEADING), F.floor(n / 4))).cast("int")
-        rest = n - lead
-        many = F.least(F.lit(PLACES), rest)
-        edge = lambda i: F.floor(i * rest / many).cast("int")
-        place = lambda i: F.xxhash64(F.slice(tokens, lead + edge(i) + 1, edge(i + 1) - edge(i))).cast("string").substr(-9, 9).cast("int")
         has_leaf = (n >= SHORT) & F.exists(tokens, lambda t: t != FIELD)
-        leaf = F.when(has_leaf, F.xxhash64(n, F.slice(tokens, 1, lead)))
-        return F.struct(n.alias("n"), leaf.alias("leaf"), F.when(has_leaf, F.transform(F.sequence(F.lit(0), many - 1), place)).alias("places"))
+        sizes = F.struct(n.alias("n"), leading(n).alias("lead"), F.least(F.lit(PLACES), n - leading(n)).alias("many"))
+        known = let(sizes, lambda s: F.struct(s["n"].alias("n"), F.xxhash64(s["n"], F.slice(tokens, 1, s["lead"])).alias("leaf"), places(tokens, s).alias("places")))
+        none = F.struct(n.alias("n"), F.lit(None).cast("long").alias("leaf"), F.lit(None).cast("array<int>").alias("places"))
+        return F.when(has_leaf, known).otherwise(none)
 
-    return F.transform(F.array(F.split(line, " ")), of)[0]
+    return let(F.split(line, " "), of)
 
 
 def templates(lines: DataFrame) -> DataFrame:
@@ -72,8 +85,7 @@ def templates(lines: DataFrame) -> DataFrame:
     shared = words.groupBy("w1", "w2").agg(F.count("*").alias("lines"), F.sum("docs").alias("support")).where("lines > 1")
     known = weighted_join(words, written(shared), ["w1", "w2"], "lines", ["support"], "left").withColumn("support", F.coalesce("support", "docs"))
     line = known.groupBy("h1", "h2", "n", "leaf", "many", "docs", "first").agg(F.sort_array(F.collect_list(F.struct("at", "word", "support"))).alias("parts"))
-    lead = F.when(F.col("n") < LONG, 1).otherwise(F.greatest(F.lit(LEADING), F.floor(F.col("n") / 4))).cast("int")
-    edge = lambda i: F.floor(i * (F.col("n") - lead) / F.col("many")).cast("int")
+    edge = lambda i: (i * (F.col("n") - leading(F.col("n"))) / F.col("many")).cast("int")
     middle = F.element_at(F.sort_array(F.col("parts.support")), ((F.size("parts") + 1) / 2).cast("int"))
     marked = once(line, "middle", middle)
     opened = F.transform("parts", lambda p: F.when(p["support"] * 2 > F.col("middle"), p["word"]))
@@ -125,9 +137,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dealt = once(joined, "slots", F.transform(F.sequence(F.lit(0).cast("bigint"), slots - 1), lambda b: F.filter("drop", lambda d: F.pmod(d["h1"], slots) == b)))
 
     def stays(line: Column) -> Column:
-        h = F.transform(F.array(masked(line)), lambda m: F.struct(*hash_pair("h", m)))[0]
-        gone = F.transform(F.array(h), lambda x: F.array_contains(F.col("slots")[F.pmod(x["h1"], slots).cast("int")], x))[0]
-        return F.when(masked(line).isNull(), True).otherwise(~gone)
+        gone = lambda h: F.array_contains(F.col("slots")[F.pmod(h["h1"], F.size("slots")).cast("int")], h)
+        return let(masked(line), lambda m: F.when(m.isNull(), True).otherwise(~let(F.struct(*hash_pair("h", m)), gone)))
 
     split = F.split(whole, "\n")
     kept = F.when(F.col("drop").isNotNull(), F.filter(split, stays))
