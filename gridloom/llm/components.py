@@ -14,7 +14,7 @@ def digest(edges: DataFrame) -> tuple:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Links (a long, b long), in any direction and repeated, to (node long, root long), root the smallest node.
+    """Links (a, b, of one type that has an order), in any direction and repeated, to (node, root), root the smallest node.
 
     Every node of a link between different nodes appears once, its root included. Each round's links are
     written to the checkpoint folder; they never come to the driver, which reads a count and a hash sum.

@@ -129,9 +129,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the numbers get one more underscore in front. Tables of lines are written to spark.checkpoint.dir.
     """
     drop = recurring(docs, id_col, text_col, min_docs, min_docs_weak)
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *hash_pair("k", F.col(id_col), F.col(text_col)))
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # no column's name is in the way
+    held = docs.select(*[F.col(f"`{c}`").alias(name) for c, name in own.items()], *hash_pair("k", F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
     joined = held.join(drop, ["k1", "k2"], "left")
-    whole = F.col(f"row.`{text_col}`")
+    whole = F.col(own[text_col])
     # hashes in about as many slots as each then holds: a line is looked for in one
     slots = F.ceil(F.sqrt(F.size("drop")))
     dealt = once(joined, "slots", F.transform(F.sequence(F.lit(0).cast("bigint"), slots - 1), lambda b: F.filter("drop", lambda d: F.pmod(d["h1"], slots) == b)))
@@ -144,7 +145,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = F.when(F.col("drop").isNotNull(), F.filter(split, stays))
     result = once(dealt, "kept", kept)
     text = F.when(F.col("drop").isNull(), whole).otherwise(F.array_join("kept", "\n"))
-    columns = [(text if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
+    columns = [(text if c == text_col else F.col(own[c])).alias(c) for c in docs.columns]
     free = lambda c: c if c not in docs.columns else free(f"_{c}")
     n = F.when(whole.isNull(), 0).otherwise(F.size(split))
     return result.select(*columns, n.alias(free("__lines")), F.when(F.col("drop").isNull(), 0).otherwise(n - F.size("kept")).alias(free("__dropped")))

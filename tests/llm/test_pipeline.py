@@ -1,8 +1,15 @@
+import hashlib
+
+import duckdb
+import pyarrow as pa
 import pytest
 
-from gridloom.llm import langid, linededup, packing, quality, simhash
+from gridloom.llm import entry, langid, linededup, packing, quality
 from gridloom.llm.common import table
 from tests.llm.common import odd_docs
+from tests.llm.test_simhash import wide_groups
+from tests.llm.test_text_models import plain_probabilities
+from tests.llm.test_text_tools import check_packing
 
 
 def test_stages_on_odd_rows(spark, sf_dir):
@@ -37,7 +44,32 @@ def test_stages_do_what_their_operators_say(spark, sf_dir):
             text = {r.doc_id: r.text for r in linededup.dedup_lines(docs).collect()}
             assert all(r.text == text[r.doc_id] and r.n_chars == len(r.text) for r in rows.collect())
         else:
-            want = {r.component_id for r in simhash.near_duplicates(docs).collect()}
+            have = docs.collect()
+            group = wide_groups([r.text for r in have])
+            want = {min(have[k].doc_id for k in range(len(have)) if group[k] == g) for g in set(group)}
         assert kept == want and kept <= before
         docs = rows
     assert sum(r.length for r in packing.pack(docs).collect()) == sum(r.length for r in pipeline.run(spark, sf_dir).collect())
+
+
+def test_run_is_brute_force(spark, sf_dir):
+    """Every stage again, by plain loops, the standard SQL and the tokenizers library, on what the one before it kept."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, langid.learnable(docs))
+    rows = []
+    for r in docs.collect():
+        p = plain_probabilities(model, r.text or "")
+        if any(c.isalpha() for c in r.text or "") and max(p.values()) >= pipeline.LEAST_LANGUAGE_SCORE:
+            rows.append(r)
+    net = quality.fit(spark.createDataFrame(rows, docs.schema), quality.learnable(table(spark, sf_dir, "labels")))
+    rows = [r for r in rows if quality.probability(net, r.text) >= 0.3]  # test_quality_is_brute_force holds this against loops
+    con = duckdb.connect()
+    documents = pa.table({"doc_id": [r.doc_id for r in rows], "text": [r.text for r in rows]})  # noqa: F841
+    digests = dict(con.execute(f"SELECT doc_id, text_md5 FROM ({entry.ORACLE_SQL['op8_line_dedup']})").fetchall())
+    shorter = {r.doc_id: r.text for r in pipeline.without_recurring_lines(spark, spark.createDataFrame(rows, docs.schema), sf_dir).collect()}
+    assert {i: hashlib.md5(t.encode()).hexdigest() for i, t in shorter.items()} == digests
+    ids = sorted(shorter)
+    group = wide_groups([shorter[i] for i in ids])
+    kept = {ids[g]: shorter[ids[g]] for g in set(group)}
+    check_packing(pipeline.run(spark, sf_dir).collect(), kept)
