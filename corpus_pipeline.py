@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import langid, linededup, packing, quality, simhash
-from gridloom.llm.common import ensure_checkpoint_dir, table
+from gridloom.llm.common import ensure_checkpoint_dir, removed, table
 
 #: A document is rejected if it has no language, or if the best one is less likely than this.
 LEAST_LANGUAGE_SCORE = 0.5
+#: Documents of five-word shingle sets as similar as this are near duplicates.
+SIMILARITY = 0.8
 
 
 def whole_rows(docs: DataFrame) -> DataFrame:
@@ -48,13 +50,16 @@ def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the smallest id (a null id only where there is no other).
 
-    Of rows that are alike in id and text one stays. Null and empty texts are one group.
+    Five-word shingles, a similarity of SIMILARITY or more. Of rows that are alike in id and text one stays. Null and
+    empty texts are one group.
     """
-    h = F.xxhash64("doc_id", "text")
-    rows = whole_rows(docs).select("row", "text", h.alias("h"), F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), h.alias("h")).alias("order"))
-    groups = simhash.near_duplicates(rows, id_col="order")
-    first = groups.where("doc_id = component_id").select(F.col("doc_id.h").alias("h")).distinct()
-    return rows.select("row", "h").join(first, "h").groupBy("h").agg(F.first("row").alias("row")).select("row.*")
+    key = [F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "doc_id", "text")]
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), key[0].alias("k1"), key[1].alias("k2"))
+    rows = whole_rows(docs).select("row", "text", order.alias("order"))
+    groups = simhash.near_duplicates(rows, id_col="order", words=5, similarity=SIMILARITY)
+    first = groups.where("doc_id = component_id").select("doc_id.k1", "doc_id.k2").distinct()
+    kept = rows.select("row", "order.k1", "order.k2").join(first, ["k1", "k2"], "left_semi")
+    return kept.groupBy("k1", "k2").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,11 +75,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after another, on documents; what they hand on is written to the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(spark)  # earlier stages' folders go as soon as they have been read; the last one holds the result
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         out = f"{folder}/{k}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if k:
+            removed(spark, f"{folder}/{k - 1}")
     return docs
