@@ -50,12 +50,13 @@ def volatility(pixels: DataFrame, steps: int, cell: int, every: int = 6) -> Data
     return cells.select("row", "col", "total", "n", F.least(F.lit(1.0), F.col("total") / F.col("n") / F.lit(10000.0)).cast("float").alias("volatility"))
 
 
-def recovered_counts(fractions: DataFrame, largest: int) -> DataFrame:
-    """The smallest n for which every fraction c (float) is k / n in single precision: n, or no row if none does."""
-    tried = fractions.select("c").distinct().select("c", F.explode(F.sequence(F.lit(1), F.lit(largest))).alias("n"))
+def recovered_counts(fractions: DataFrame, largest: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The smallest n for which every fraction c (float) is k / n in single precision, by keys: keys, n; no row where there is none."""
+    tried = fractions.select(*keys, "c").distinct().select(*keys, "c", F.explode(F.sequence(F.lit(1), F.lit(largest))).alias("n"))
     k = F.rint(F.col("c").cast("double") * F.col("n"))
     fits = (k / F.col("n")).cast("float") == F.col("c")
-    return tried.groupBy("n").agg(F.bool_and(fits).alias("ok")).where("ok").agg(F.min("n").alias("n"))
+    good = tried.groupBy(*keys, "n").agg(F.bool_and(fits).alias("ok")).where("ok")
+    return good.groupBy(*keys).agg(F.min("n").alias("n"))
 
 
 def first_finite(slices: DataFrame, keys: tuple[str, ...], order: str, value: str = "v") -> DataFrame:

@@ -92,27 +92,26 @@ def time_selector(spec: str, index: Column, iso: Column) -> Column:
     return out
 
 
-def level_for(levels: DataFrame, resolution: float) -> DataFrame:
-    """The coarsest level no coarser than asked for, else level 0."""
-    return levels.agg(F.coalesce(F.max(F.when(F.col("resolution") <= resolution, F.col("level"))), F.lit(0)).cast("int").alias("level"))
-
-
-def utm_forward(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:
-    """Easting and northing (WGS 84, north) by the Krueger series to the third order."""
-    a, f = 6378137.0, 1 / 298.257223563
-    n = f / (2 - f)
-    big = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    alpha = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240]
-    e = 2 * n**0.5 / (1 + n)
-    d = F.radians(lon - (zone * 6 - 183))
-    s = F.sin(F.radians(lat))
-    t = F.sinh(F.atanh(s) - F.lit(e) * F.atanh(F.lit(e) * s))
-    xi, eta = F.atan2(t, F.cos(d)), F.atanh(F.sin(d) / F.sqrt(1 + t * t))
-    east, north = eta, xi
-    for j, c in enumerate(alpha, 1):
-        east = east + F.lit(c) * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        north = north + F.lit(c) * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return F.lit(500000.0) + F.lit(0.9996 * big) * east, F.lit(0.9996 * big) * north
+def level_of(resolution: Column, levels: list[float]) -> Column:
+    """The coarsest of the levels' resolutions (from fine to coarse) that is no coarser than asked for, else level 0."""
+    return F.coalesce(F.array_max(F.array(*[F.when(F.lit(r) <= resolution, k) for k, r in enumerate(levels)])), F.lit(0)).cast("int")
+
+
+def mirror_problems(declared: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that only one side has: keys, problem. One exchange: both sides' rows are counted together."""
+    both = declared.select(*keys, F.lit(1).alias("side")).unionByName(found.select(*keys, F.lit(2).alias("side")))
+    sides = both.groupBy(*keys).agg(F.bit_or("side").alias("sides")).where("sides <> 3")
+    return sides.select(*keys, F.when(F.col("sides") == 1, "declared but absent").otherwise("not declared").alias("problem"))
+
+
+def value_problem(stored: Column, mirrored: Column, relative: float = 1e-5, absolute: float = 1e-8) -> Column:
+    """missing, differs (beyond absolute + relative * |mirrored|) or null."""
+    return F.when(mirrored.isNull() | stored.isNull(), "missing").when(F.abs(stored - mirrored) > F.lit(absolute) + F.lit(relative) * F.abs(mirrored), "differs")
+
+
+def takes_validity(store: Column, batch: Column) -> Column:
+    """Whether a store that says what is valid by a mask, a sentinel or not at all can append a batch that does so its own way."""
+    return (store == batch) | ((store == "mask") & (batch == "sentinel")) | ((store != "none") & (batch == "none"))
 
 
 def findings(rows: DataFrame, rules: list[tuple[str, str, Column, Column]]) -> DataFrame:

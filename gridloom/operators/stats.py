@@ -14,30 +14,57 @@ def histogram(values: DataFrame, value: str, low: int, high: int) -> DataFrame:
 
 
 def otsu(hist: DataFrame) -> DataFrame:
-    """The threshold of largest variance between classes, the middle of a plateau, as one row: threshold, total.
+    """The threshold of largest variance between classes, the middle of a plateau, as one row: threshold, total, separability.
 
-    The histogram has one row a bin, so its running sums are one small window. Products are of integers.
+    separability: that variance as a share of the whole variance. The histogram has one row a bin, a bounded number,
+    so its running sums are one small window. Products of sums are decimals, so counts may reach 1e13 and more.
     """
     order = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    exact = lambda c: F.col(c).cast("decimal(38,0)")
     run = hist.select("bin", F.sum("n").over(order).alias("w"), F.sum(F.col("n") * F.col("bin")).over(order).alias("m"))
-    totals = hist.agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.col("bin")).alias("moment"))
+    totals = hist.agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.col("bin")).alias("moment"), F.sum(exact("n") * F.col("bin") * F.col("bin")).alias("square"))
     both = run.join(F.broadcast(totals), on=F.lit(True)).where("w > 0 AND w < total")
-    d = (F.col("m") * F.col("total") - F.col("w") * F.col("moment")).cast("double")
-    scored = both.select("bin", "total", F.try_divide(d * d, F.col("w").cast("double") * (F.col("total") - F.col("w")).cast("double")).alias("s"))
+    d = (exact("m") * exact("total") - exact("w") * exact("moment")).cast("double")
+    scored = both.select("bin", "total", "moment", "square", F.try_divide(d * d, F.col("w").cast("double") * (F.col("total") - F.col("w")).cast("double")).alias("s"))
     top = scored.agg(F.max("s").alias("best"))
     tied = scored.join(F.broadcast(top), F.col("s") == F.col("best"))
-    return tied.agg(F.expr("(min(bin) + max(bin)) div 2").cast("int").alias("threshold"), F.max("total").alias("total"))
+    of = lambda c: F.max(c).cast("double")
+    apart = F.round(of("s") / (of("square") * of("total") - of("moment") * of("moment")), 6)
+    return tied.agg(F.expr("(min(bin) + max(bin)) div 2").cast("int").alias("threshold"), F.max("total").alias("total"), apart.alias("separability"))
+
+
+#: Ranges that values are cut into before any running sum, so that a range and not all values are one task.
+RANGES = 64
+
+
+def in_ranges(counts: DataFrame, value: str, keys: tuple[str, ...]) -> DataFrame:
+    """Rows of distinct values with part: the range of about equally many values that each lies in, by keys."""
+    at = F.col(value).cast("double")
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(at, [i / RANGES for i in range(1, RANGES)], 1000).alias("cuts"))
+    with_cuts = counts.join(cuts, list(keys)) if keys else counts.join(F.broadcast(cuts), on=F.lit(True))
+    return with_cuts.withColumn("part", F.size(F.filter("cuts", lambda c: c < at))).drop("cuts")
+
+
+def running_sum(ranged: DataFrame, value: str, keys: tuple[str, ...], column: Column, name: str) -> DataFrame:
+    """Rows of in_ranges() with the sum of a column up to each value: within its range, and the ranges before as one number."""
+    part = ranged.groupBy(*keys, "part").agg(F.sum(column).alias("sum"))
+    before = F.coalesce(F.sum("sum").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # RANGES rows a key
+    offsets = part.select(*keys, "part", before.alias("before"))
+    within = F.sum(column).over(Window.partitionBy(*keys, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return ranged.withColumn(name, within).join(offsets, [*keys, "part"]).withColumn(name, F.col(name) + F.col("before")).drop("before")
 
 
 def index_percentiles(values: DataFrame, value: str, shares: tuple[float, ...], keys: tuple[str, ...] = ()) -> DataFrame:
     """sorted[floor(share * n)] for each share, by keys: keys, share, value.
 
-    From counts of distinct values, so that a common value or key is one row before any sort.
+    From counts of distinct values, so that a common value or key is one row before any sort, and by ranges, so that
+    no task sorts all values of a key.
     """
     counts = values.groupBy(*keys, value).agg(F.count("*").alias("c"))
-    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counts.withColumn("hi", F.sum("c").over(upto)).withColumn("total", F.sum("c").over(Window.partitionBy(*keys)))
-    wanted = placed.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).withColumn("at", F.floor(F.col("total") * F.col("share")))
+    placed = running_sum(in_ranges(counts, value, keys), value, keys, F.col("c"), "hi")
+    totals = counts.groupBy(*keys).agg(F.sum("c").alias("total"))
+    both = placed.join(totals, list(keys)) if keys else placed.join(F.broadcast(totals), on=F.lit(True))
+    wanted = both.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).withColumn("at", F.floor(F.col("total") * F.col("share")))
     return wanted.where("at >= hi - c AND at < hi").select(*keys, "share", value)
 
 
@@ -53,12 +80,14 @@ def value_islands(values: DataFrame, value: str = "v", gap_share: float = 0.05)
 
     Returns island (from 0), lo, hi, codes (distinct values), n (pixels). Distinct values are few beside pixels.
     """
-    counts = values.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    span = counts.agg((F.max("v") - F.min("v")).alias("span"))
-    order = Window.orderBy("v")
-    cut = (F.col("v") - F.lag("v").over(order)) > F.col("span") * gap_share
-    marked = counts.join(F.broadcast(span), on=F.lit(True)).withColumn("cut", F.when(cut, 1).otherwise(0))
-    named = marked.withColumn("island", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int"))
+    counts = in_ranges(values.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n")), "v", ())
+    ends = counts.groupBy("part").agg(F.min("v").alias("least"), F.max("v").alias("most"))
+    span = ends.agg((F.max("most") - F.min("least")).alias("span"))
+    last = ends.select("part", F.lag("most").over(Window.orderBy("part")).alias("last"))  # RANGES rows at most
+    both = counts.join(F.broadcast(last), "part").join(F.broadcast(span), on=F.lit(True))
+    before = F.coalesce(F.lag("v").over(Window.partitionBy("part").orderBy("v")), F.col("last"))
+    marked = both.withColumn("cut", F.when(F.col("v") - before > F.col("span") * gap_share, 1).otherwise(0))
+    named = running_sum(marked, "v", (), F.col("cut"), "island").withColumn("island", F.col("island").cast("int"))
     return named.groupBy("island").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("codes"), F.sum("n").alias("n"))
 
 

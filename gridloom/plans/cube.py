@@ -6,6 +6,9 @@ grid, v = quantity, n = rows. A formula mask leaves gaps at every scale.
 
 from __future__ import annotations
 
+import functools
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +29,23 @@ def int_(c: Column) -> Column:
     return c.cast("int")
 
 
-def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Valid pixels: t, b, y, x, v, n."""
+def days_of(steps: list[int]) -> Column:
+    """Whether a ship date lies in one of the steps' months: bounds on the stored column, which reach the Parquet scan."""
+    first = lambda t: date(1995 + t // 12, t % 12 + 1, 1)
+    runs: list[list[int]] = []
+    for t in sorted(set(steps)):
+        if runs and runs[-1][1] == t:
+            runs[-1][1] = t + 1
+        else:
+            runs.append([t, t + 1])
+    return functools.reduce(lambda x, y: x | y, [(F.col("l_shipdate") >= F.lit(first(a))) & (F.col("l_shipdate") < F.lit(first(z))) for a, z in runs], F.lit(False))
+
+
+def pixels(spark: SparkSession, sf_dir: str, steps: list[int] | None = None) -> DataFrame:
+    """Valid pixels: t, b, y, x, v, n; of some steps only, if they are named."""
     li = table(spark, sf_dir, "lineitem")
+    if steps is not None:
+        li = li.where(days_of(steps))
     keys = li.select(
         int_((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1).alias("t"),
         F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2).alias("b"),
@@ -46,8 +63,9 @@ def lattice(spark: SparkSession, steps: int = STEPS, bands: int = BANDS, height:
     )
 
 
-def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every pixel of the grid: t, b, y, x, v and n (0 where there is none), valid."""
+def dense(spark: SparkSession, sf_dir: str, steps: list[int] | None = None) -> DataFrame:
+    """Every pixel of the grid: t, b, y, x, v and n (0 where there is none), valid; of some steps only, if they are named."""
     keys = ["t", "b", "y", "x"]
-    px = pixels(spark, sf_dir).withColumn("valid", F.lit(True))
-    return lattice(spark).join(px, keys, "left").select(*keys, F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("valid", F.lit(False)).alias("valid"))
+    px = pixels(spark, sf_dir, steps).withColumn("valid", F.lit(True))
+    grid = lattice(spark) if steps is None else lattice(spark).where(F.col("t").isin(steps))
+    return grid.join(px, keys, "left").select(*keys, F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("valid", F.lit(False)).alias("valid"))

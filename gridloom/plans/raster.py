@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions import validity
 from gridloom.operators import composite, pyramid, stats
 from gridloom.plans.cube import BANDS, CELL, CUBE, GRID, HEIGHT, STEPS, WIDTH, dense, int_, pixels
 from gridloom.plans.registry import query
@@ -46,7 +47,7 @@ def physical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SC02_read_step", f"WITH {CUBE}, {GRID} SELECT b, y, x, v, valid FROM dense WHERE t = 5")
 def read_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense(spark, sf_dir).where("t = 5").select("b", "y", "x", "v", "valid")
+    return dense(spark, sf_dir, [5]).select("b", "y", "x", "v", "valid")
 
 
 @query("SC03_F38_read_cell", f"WITH {CUBE}, {GRID} SELECT b, y - 16 AS dy, x - 8 AS dx, v FROM dense WHERE t = 7 AND y // 8 = 2 AND x // 8 = 1")
@@ -54,13 +55,13 @@ def read_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One cell of one step, cut to the extent at the edges: bounds, not functions of y and x, reach the scan."""
     row, col = 2, 1
     h, w = min(CELL, HEIGHT - row * CELL), min(CELL, WIDTH - col * CELL)
-    d = dense(spark, sf_dir).where((F.col("t") == 7) & F.col("y").between(row * CELL, row * CELL + h - 1) & F.col("x").between(col * CELL, col * CELL + w - 1))
+    d = dense(spark, sf_dir, [7]).where(F.col("y").between(row * CELL, row * CELL + h - 1) & F.col("x").between(col * CELL, col * CELL + w - 1))
     return d.select("b", (F.col("y") - row * CELL).alias("dy"), (F.col("x") - col * CELL).alias("dx"), "v")
 
 
 @query("SC04_read_region", f"WITH {CUBE} SELECT t, b, y, x, v FROM px WHERE t IN (3, 11, 40) AND y BETWEEN 4 AND 9 AND x BETWEEN 2 AND 12")
 def read_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels(spark, sf_dir).where(F.col("t").isin(3, 11, 40) & F.col("y").between(4, 9) & F.col("x").between(2, 12)).select("t", "b", "y", "x", "v")
+    return pixels(spark, sf_dir, [3, 11, 40]).where(F.col("y").between(4, 9) & F.col("x").between(2, 12)).select("t", "b", "y", "x", "v")
 
 
 @query(
@@ -75,7 +76,7 @@ def per_band_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SC06_planes", f"WITH {CUBE}, {GRID} SELECT y, x, CAST(bool_or(valid) AS INTEGER) AS mask, CAST(least(sum(n), 255) AS INTEGER) AS coverage FROM dense WHERE t = 9 GROUP BY y, x")
 def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = dense(spark, sf_dir).where("t = 9")
+    d = dense(spark, sf_dir, [9])
     return d.groupBy("y", "x").agg(F.bool_or("valid").cast("int").alias("mask"), int_(F.least(F.sum("n"), F.lit(255))).alias("coverage"))
 
 
@@ -88,7 +89,7 @@ def outer_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists and slices by axis, in the order asked for: y = [-1, 0, 5], x = [14:1:-4]."""
     ys, xs = [v % HEIGHT for v in (-1, 0, 5)], list(range(14, 1, -4))
     place = lambda c, values: F.array_position(F.array(*map(F.lit, values)), F.col(c)).cast("int") - 1
-    d = dense(spark, sf_dir).where(F.col("y").isin(ys) & F.col("x").isin(xs) & (F.col("b") == 1) & F.col("t").between(10, 20))
+    d = dense(spark, sf_dir, list(range(10, 21))).where(F.col("y").isin(ys) & F.col("x").isin(xs) & (F.col("b") == 1))
     return d.select(place("y", ys).alias("i"), place("x", xs).alias("j"), "t", "v")
 
 
@@ -99,14 +100,14 @@ def recompose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense(spark, sf_dir).groupBy("t", F.expr("y div 8").cast("int").alias("row"), F.expr("x div 8").cast("int").alias("col")).agg(F.count("*").alias("n"), F.sum(F.col("v") * at).cast("long").alias("digest"))
 
 
-@query("SC26_P03_joint_validity", f"WITH {CUBE}, {GRID} SELECT t, y, x, bool_and(v <> 0) AS valid FROM dense WHERE t < 12 GROUP BY t, y, x")
+@query("SC26_P03_joint_validity", f"WITH {CUBE}, {GRID} SELECT t, y, x, bool_and(v <> 0) AS valid FROM dense GROUP BY t, y, x")
 def joint_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense(spark, sf_dir).where("t < 12").groupBy("t", "y", "x").agg(F.bool_and(F.col("v") != 0).alias("valid"))
+    return dense(spark, sf_dir).groupBy("t", "y", "x").agg(F.bool_and(F.col("v") != 0).alias("valid"))
 
 
-@query("SC27_flip", f"WITH {CUBE} SELECT t, b, 19 - y AS y, x, v FROM px WHERE t % 10 = 0")
+@query("SC27_flip", f"WITH {CUBE} SELECT t, b, 19 - y AS y, x, v FROM px")
 def flip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels(spark, sf_dir).where("t % 10 = 0").select("t", "b", (HEIGHT - 1 - F.col("y")).alias("y"), "x", "v")
+    return pixels(spark, sf_dir).select("t", "b", (HEIGHT - 1 - F.col("y")).alias("y"), "x", "v")
 
 
 @query(
@@ -125,10 +126,10 @@ def star_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("t").agg(F.sum("stored").cast("long").alias("stored"), F.sum(decoded).cast("long").alias("decoded"))
 
 
-@query("J01_masked", f"WITH {CUBE}, {GRID} SELECT d.t, d.b, d.y, d.x, CASE WHEN m.ok THEN d.v END AS v FROM dense d JOIN (SELECT t, y, x, bool_and(valid) AS ok FROM dense GROUP BY t, y, x) m USING (t, y, x) WHERE d.t < 6")
+@query("J01_masked", f"WITH {CUBE}, {GRID} SELECT d.t, d.b, d.y, d.x, CASE WHEN m.ok THEN d.v END AS v FROM dense d JOIN (SELECT t, y, x, bool_and(valid) AS ok FROM dense GROUP BY t, y, x) m USING (t, y, x)")
 def masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values under the mask that all bands of a pixel share."""
-    d = dense(spark, sf_dir).where("t < 6")
+    d = dense(spark, sf_dir)
     ok = F.bool_and("valid").over(Window.partitionBy("t", "y", "x"))
     return d.select("t", "b", "y", "x", F.when(ok, F.col("v")).alias("v"))
 
@@ -198,11 +199,16 @@ def median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.withColumn("coverage", (F.col("k").cast("float") / F.lit(12).cast("float")).cast("float"))
 
 
-@query("A13_recover_counts", "SELECT 24 AS n")
+@query(
+    "A13_recover_counts",
+    f"""WITH {CUBE}, {GRID}, k AS (SELECT t % 12 AS m, y, x, b, count_if(valid) AS k, count(*) AS n FROM dense GROUP BY ALL), c AS (SELECT DISTINCT m, CAST(CAST(k AS FLOAT) / CAST(n AS FLOAT) AS FLOAT) AS c FROM k),
+f AS (SELECT m, CAST(i AS INTEGER) AS n, bool_and(CAST(round_even(CAST(c AS DOUBLE) * i, 0) / i AS FLOAT) = c) AS ok FROM c, range(1, 65) r(i) GROUP BY m, i)
+SELECT m, min(n) AS n FROM f WHERE ok GROUP BY m""",
+)
 def recover_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fractions k / 24 give back 24: two of them have no smaller denominator."""
-    c = spark.range(0, 25).select((F.col("id").cast("double") / 24).cast("float").alias("c"))
-    return composite.recovered_counts(c, 64)
+    """How many observations the shares of a calendar month were taken from: the smallest count that gives all of them."""
+    keys = dense(spark, sf_dir).groupBy((F.col("t") % 12).alias("m"), "y", "x", "b").agg(F.count_if("valid").alias("k"), F.count("*").alias("n"))
+    return composite.recovered_counts(keys.select("m", (F.col("k").cast("float") / F.col("n").cast("float")).cast("float").alias("c")), 64, ("m",))
 
 
 @query("A15_multilook", f"WITH {CUBE} SELECT t, b, y // 2 AS y, x // 2 AS x, CASE WHEN count(*) = 4 THEN CAST(sum(v) AS DOUBLE) / 4 END AS mean FROM px WHERE x < 14 GROUP BY t, b, y // 2, x // 2")
@@ -232,9 +238,10 @@ def ndwi_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "A18_W07_otsu",
     f"""WITH {CUBE}, {GRID}, {WIDE}, {NDWI}, h AS (SELECT CAST(r.b AS BIGINT) AS bin, count(q) AS n FROM range(-10000, 10001) r(b) LEFT JOIN ndwi ON q = r.b GROUP BY r.b),
-c AS (SELECT bin, CAST(sum(n) OVER (ORDER BY bin) AS BIGINT) AS w, CAST(sum(n * bin) OVER (ORDER BY bin) AS BIGINT) AS m FROM h), s AS (SELECT CAST(sum(n) AS BIGINT) AS total, CAST(sum(n * bin) AS BIGINT) AS moment FROM h),
-v AS (SELECT bin, total, CAST(m * total - w * moment AS DOUBLE) * CAST(m * total - w * moment AS DOUBLE) / (CAST(w AS DOUBLE) * CAST(total - w AS DOUBLE)) AS g FROM c, s WHERE w > 0 AND w < total)
-SELECT CAST((min(bin) + max(bin)) // 2 AS INTEGER) AS threshold, max(total) AS total FROM v WHERE g = (SELECT max(g) FROM v)""",
+c AS (SELECT bin, CAST(sum(n) OVER (ORDER BY bin) AS BIGINT) AS w, CAST(sum(n * bin) OVER (ORDER BY bin) AS BIGINT) AS m FROM h), s AS (SELECT CAST(sum(n) AS BIGINT) AS total, CAST(sum(n * bin) AS BIGINT) AS moment, CAST(sum(n * bin * bin) AS BIGINT) AS square FROM h),
+v AS (SELECT bin, total, moment, square, CAST(m * total - w * moment AS DOUBLE) * CAST(m * total - w * moment AS DOUBLE) / (CAST(w AS DOUBLE) * CAST(total - w AS DOUBLE)) AS g FROM c, s WHERE w > 0 AND w < total)
+SELECT CAST((min(bin) + max(bin)) // 2 AS INTEGER) AS threshold, max(total) AS total,
+  round(max(g) / (CAST(max(square) AS DOUBLE) * CAST(max(total) AS DOUBLE) - CAST(max(moment) AS DOUBLE) * CAST(max(moment) AS DOUBLE)), 6) AS separability FROM v WHERE g = (SELECT max(g) FROM v)""",
 )
 def otsu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.otsu(stats.histogram(ndwi(spark, sf_dir), "q", -10000, 10000))
@@ -373,12 +380,43 @@ def object_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(spark, sf_dir).groupBy(F.expr("t div 12").cast("int").alias("shard"), F.expr("y div 8").cast("int").alias("row"), F.expr("x div 8").cast("int").alias("col")).agg((F.count("*") * 2).alias("bytes"))
 
 
-@query("SK11_U05_verify", f"WITH {CUBE} SELECT 0 AS differing, count(*) AS n FROM px")
+_COPY = "copy AS (SELECT t, b, y, x, CASE WHEN (31 * t + 7 * y + x) % 97 = 0 THEN v + 1 ELSE v END AS v, n FROM px WHERE (13 * t + 5 * y + 3 * x + b) % 89 <> 0 UNION ALL SELECT t, b, y, x, v, n FROM px WHERE t = 4 AND y = 3)"
+
+
+@query(
+    "SK11_U05_verify",
+    f"""WITH {CUBE}, {_COPY}, a AS (SELECT * FROM px EXCEPT ALL SELECT * FROM copy), z AS (SELECT * FROM copy EXCEPT ALL SELECT * FROM px)
+SELECT coalesce(a.t, z.t) AS t, coalesce(a.lost, 0) AS lost, coalesce(z.added, 0) AS added FROM (SELECT t, count(*) AS lost FROM a GROUP BY t) a FULL JOIN (SELECT t, count(*) AS added FROM z GROUP BY t) z ON a.t = z.t""",
+)
 def verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A copy against its source, as bags: rows of one count up, rows of the other down; one exchange, both ways."""
-    a, b = pixels(spark, sf_dir).withColumn("side", F.lit(1)), pixels(spark, sf_dir).withColumn("side", F.lit(-1))
-    g = a.unionByName(b).groupBy("t", "b", "y", "x", "v", "n").agg(F.sum("side").alias("d"), F.count_if(F.col("side") == 1).alias("k"))
-    return g.agg(F.count_if(F.col("d") != 0).cast("int").alias("differing"), F.sum("k").alias("n"))
+    """A migrated copy with changed, lost and doubled pixels against its source, as bags: steps with rows that only one side has; one exchange, both ways."""
+    px = pixels(spark, sf_dir)
+    kept = px.where((13 * F.col("t") + 5 * F.col("y") + 3 * F.col("x") + F.col("b")) % 89 != 0)
+    copy = kept.withColumn("v", F.when((31 * F.col("t") + 7 * F.col("y") + F.col("x")) % 97 == 0, F.col("v") + 1).otherwise(F.col("v"))).unionByName(px.where("t = 4 AND y = 3"))
+    both = px.withColumn("side", F.lit(1)).unionByName(copy.withColumn("side", F.lit(-1)))
+    g = both.groupBy("t", "b", "y", "x", "v", "n").agg(F.sum("side").alias("d")).where("d <> 0")
+    return g.groupBy("t").agg(F.sum(F.greatest("d", F.lit(0))).alias("lost"), F.sum(F.greatest(-F.col("d"), F.lit(0))).alias("added"))
+
+
+@query("P02_valid_pixels", f"WITH {CUBE}, {GRID} SELECT t, b, count_if(CASE WHEN t % 2 = 0 THEN n % 2 = 1 ELSE v <> 0 END) AS valid FROM dense GROUP BY t, b")
+def valid_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps with a mask (here odd counts) go by it, the others by the sentinel 0."""
+    d = dense(spark, sf_dir)
+    mask = F.when(F.col("t") % 2 == 0, F.col("n") % 2)
+    return d.groupBy("t", "b").agg(F.count_if(validity.is_valid(F.col("v"), F.lit(0), mask)).alias("valid"))
+
+
+@query("P04_validity_strategy", f"""WITH {CUBE}, {GRID}, s AS (SELECT t, b, CAST(count_if(NOT valid) AS BIGINT) AS invalid, count_if(valid AND v = 7) AS taken FROM dense GROUP BY t, b)
+SELECT t, b, CASE WHEN invalid = 0 THEN 'none' WHEN taken = 0 THEN 'sentinel' ELSE 'mask' END AS strategy, invalid, taken FROM s""")
+def validity_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether 7 can mark what is missing at each step and band."""
+    return validity.validity_strategy(dense(spark, sf_dir), 7, ("t", "b"))
+
+
+@query("P07_radar_validity", f"WITH {CUBE}, {GRID} SELECT t, count_if(CAST(v AS DOUBLE) / 10 > 0 AND (CASE WHEN y = 0 THEN 255 WHEN x % 4 = 0 THEN 0 ELSE b + 1 END) NOT IN (0, 255)) AS valid FROM dense GROUP BY t")
+def radar_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mask = F.when(F.col("y") == 0, 255).when(F.col("x") % 4 == 0, 0).otherwise(F.col("b") + 1)
+    return dense(spark, sf_dir).groupBy("t").agg(F.count_if(validity.is_valid_backscatter(F.col("v").cast("double") / 10, mask)).alias("valid"))
 
 
 @query("SK12_drop_nodata_tag", f"WITH {CUBE} SELECT t, bool_or(v = 7) AS drop_tag FROM px GROUP BY t")
@@ -393,20 +431,20 @@ def db_quantise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(spark, sf_dir).select("t", "b", "y", "x", int_(F.least(F.lit(65535.0), F.greatest(F.lit(0.0), q))).alias("q"))
 
 
-@query("F08_P06_scene_mask", f"WITH {CUBE} SELECT t, y, x, CAST(least(65535, greatest(1, v - 10)) AS INTEGER) AS v FROM px WHERE b = 0 AND n IN (1, 2, 4)")
+@query("F08_P06_scene_mask", f"WITH {CUBE} SELECT t, y, x, CAST(least(65535, greatest(1, v - 10)) AS INTEGER) AS v, b FROM px WHERE n IN (1, 2, 4)")
 def scene_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels of the accepted classes (here n), with the offset taken off, cut to 1..65535."""
-    return pixels(spark, sf_dir).where((F.col("b") == 0) & F.col("n").isin(1, 2, 4)).select("t", "y", "x", int_(F.least(F.lit(65535), F.greatest(F.lit(1), F.col("v") - 10))).alias("v"))
+    return pixels(spark, sf_dir).where(F.col("n").isin(1, 2, 4)).select("t", "b", "y", "x", int_(F.least(F.lit(65535), F.greatest(F.lit(1), F.col("v") - 10))).alias("v"))
 
 
-@query("F09_integer_divisor", f"WITH {CUBE} SELECT t, b, y, x, CAST(v AS DOUBLE) / 100 AS value FROM px WHERE t < 20")
+@query("F09_integer_divisor", f"WITH {CUBE} SELECT t, b, y, x, CAST(v AS DOUBLE) / 100 AS value FROM px")
 def integer_divisor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scale whose inverse is a whole number divides."""
     scale = 0.01
     divisor = round(1 / scale)
     exact = abs(divisor * scale - 1) < 1e-12
     v = F.col("v").cast("double")
-    return pixels(spark, sf_dir).where("t < 20").select("t", "b", "y", "x", (v / divisor if exact else v * scale).alias("value"))
+    return pixels(spark, sf_dir).select("t", "b", "y", "x", (v / divisor if exact else v * scale).alias("value"))
 
 
 @query("X02_A30_union_grid", f"""WITH {CUBE}, tiles AS (SELECT t, y // 7 AS tile, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM px GROUP BY t, y // 7)
@@ -419,18 +457,18 @@ def union_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.groupBy("t").agg(F.min("y0").alias("y0"), F.min("x0").alias("x0"), h.alias("h"), w.alias("w"), (h * w - area).cast("long").alias("uncovered"))
 
 
-@query("X01_warp_nearest", f"WITH {CUBE}, {GRID} SELECT t, b, CAST(r AS INTEGER) AS y, CAST(c AS INTEGER) AS x, v, valid FROM dense JOIN range(10) a(r) ON y = CAST(floor((r + 0.5) * 2) AS INTEGER) JOIN range(5) e(c) ON x = CAST(floor((c + 0.5) * 3) AS INTEGER) WHERE t % 12 = 0")
+@query("X01_warp_nearest", f"WITH {CUBE}, {GRID} SELECT t, b, CAST(r AS INTEGER) AS y, CAST(c AS INTEGER) AS x, v, valid FROM dense JOIN range(10) a(r) ON y = CAST(floor((r + 0.5) * 2) AS INTEGER) JOIN range(5) e(c) ON x = CAST(floor((c + 0.5) * 3) AS INTEGER)")
 def warp_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest pixel of a coarser grid: the source pixel that holds each target centre; keys are computed, not searched."""
-    d = dense(spark, sf_dir).where("t % 12 = 0 AND y % 2 = 1 AND x % 3 = 1")
+    d = dense(spark, sf_dir).where("y % 2 = 1 AND x % 3 = 1")
     return d.select("t", "b", F.expr("y div 2").cast("int").alias("y"), F.expr("x div 3").cast("int").alias("x"), "v", "valid")
 
 
-@query("X01_warp_mode", f"""WITH {CUBE}, c AS (SELECT t, b, y // 4 AS y, x // 5 AS x, v, count(*) AS k FROM px WHERE t % 12 = 3 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY t, b, y, x ORDER BY k DESC, v) AS i FROM c)
+@query("X01_warp_mode", f"""WITH {CUBE}, c AS (SELECT t, b, y // 4 AS y, x // 5 AS x, v, count(*) AS k FROM px GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY t, b, y, x ORDER BY k DESC, v) AS i FROM c)
 SELECT t, b, y, x, v FROM r WHERE i = 1""")
 def warp_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most frequent valid value below each target pixel, the smallest of equals."""
-    c = pixels(spark, sf_dir).where("t % 12 = 3").groupBy("t", "b", F.expr("y div 4").cast("int").alias("y"), F.expr("x div 5").cast("int").alias("x"), "v").agg(F.count("*").alias("k"))
+    c = pixels(spark, sf_dir).groupBy("t", "b", F.expr("y div 4").cast("int").alias("y"), F.expr("x div 5").cast("int").alias("x"), "v").agg(F.count("*").alias("k"))
     return c.groupBy("t", "b", "y", "x").agg(F.max_by("v", F.struct("k", -F.col("v"))).alias("v"))
 
 
