@@ -11,6 +11,7 @@ confirmed if the segment around the window holds four fifths of the word pairs o
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
@@ -70,13 +71,14 @@ WINDOW, STEP = 32, 16
 #: Words of a paragraph that are looked at together; a window begins in one segment only.
 SEGMENT = 512
 #: Features at most, and slots of the table that finds them.
-FEATURES, SLOTS = 4095, 32749
+FEATURES, SLOTS = 2047, 32749
 #: Documents of prose that the model is trained with, chosen by hash.
 PROSE = 300
 #: Share of held-out prose windows that may pass for a family.
 FALSE_ALARMS = 0.0005
 _FACTOR, _PRIME = 31, 2147483647
-_TAGS = (0, 1 << 32, 1 << 33)
+#: What two- and three-word values are moved by, so that no two kinds are alike.
+_TAGS = (1 << 32, 1 << 33)
 
 
 def words_of(text: str) -> list[str]:
@@ -88,7 +90,7 @@ def values_of(words: list[str]) -> list[list[int]]:
     one = [zlib.crc32(w.encode()) for w in words]
     two = [(a * _FACTOR + b) % _PRIME for a, b in zip(one, one[1:], strict=False)]
     three = [(a * _FACTOR + b) % _PRIME for a, b in zip(two, one[2:], strict=False)]
-    return [[v + tag for v in values] for values, tag in zip((one, two, three), _TAGS, strict=True)]
+    return [one, [v + _TAGS[0] for v in two], [v + _TAGS[1] for v in three]]
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -163,7 +165,7 @@ class Model:
         return np.maximum(0.0, (self.weights[:-1] - self.weights[-1]).max(axis=0)), float((self.bias[-1] - self.bias[:-1]).min()) - 1e-9
 
 
-def train(prose: list[str] | None = None, steps: int = 250, l1: float = 2e-5) -> Model:
+def train(prose: list[str] | None = None, steps: int = 150, l1: float = 8e-5) -> Model:
     """A model from the notices and texts of prose. Windows of prose that hold most of a template are left out."""
     rng = random.Random(3)
     families = [*TEMPLATES, UNKNOWN]
@@ -171,8 +173,8 @@ def train(prose: list[str] | None = None, steps: int = 250, l1: float = 2e-5) ->
     running = [w[i : i + WINDOW] for text in prose or [] for paragraph in re.split(BLANK, text) for w in [words_of(paragraph)] for i in range(0, max(1, len(w)), WINDOW) if w]
     clean = [w for w in running if not any(len(t & set(values_of(w)[1])) > 0.5 * len(t) for t in short)]
     rng.shuffle(clean)
-    plain = clean[:4000]
-    rows = [(v, k, i) for k, family in enumerate(families[:-1]) for t in TEMPLATES[family] for i, v in enumerate(variants(words_of(t), plain, rng, 40))]
+    plain = clean[:2500]
+    rows = [(v, k, i) for k, family in enumerate(families[:-1]) for t in TEMPLATES[family] for i, v in enumerate(variants(words_of(t), plain, rng, 30))]
     rows += [(v, len(TEMPLATES), i) for t in OTHERS for i, v in enumerate(variants(words_of(t), plain, rng, 24))]
     rows += [(w[: rng.randrange(1, WINDOW + 1)] if rng.random() < 0.3 else w, len(TEMPLATES), i) for i, w in enumerate(plain)]
     # features: the sequences of notices and others, and what is common in prose
@@ -255,11 +257,11 @@ def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
     three = once(two, "v3", mixed("v2", 3))
 
     def places(values: str, tag: int) -> Column:
-        """Place and number of each known sequence, as place * (FEATURES + 1) + number."""
+        """Place and number of each known sequence, as place * (FEATURES + 1) + number; null for the others."""
         slot = lambda v: ((v + tag) % SLOTS + 1).cast("int")
         return F.transform(values, lambda v, i: F.when(F.element_at(check, slot(v)) == v + tag, i * (FEATURES + 1) + F.element_at(index, slot(v))))
 
-    hits = once(three, "hits", F.array_compact(F.concat(*[places(f"v{n + 1}", tag) for n, tag in enumerate(_TAGS)]))).where(F.size("hits") > 0)
+    hits = once(three, "hits", F.array_compact(F.concat(places("v1", 0), places("v2", _TAGS[0]), places("v3", _TAGS[1])))).where(F.size("hits") > 0)
     last = F.least(F.lit(SEGMENT // STEP - 1), F.greatest(F.lit(0), F.ceil((F.size("w") - WINDOW) / F.lit(STEP)).cast("int")))
     begin = lambda i: i * (STEP * (FEATURES + 1))
     feature = lambda h: h % (FEATURES + 1)
@@ -268,8 +270,15 @@ def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
     norm = lambda f: F.sqrt(F.size(f) + F.lit(1.0))
     total = lambda table, f: F.aggregate(f, F.lit(0.0), lambda acc, j: acc + F.element_at(table, j + 1))
     gain = numbers(gains.tolist())
-    # a window whose features can't lift any family over unknown is not scored
-    near = once(hits, "windows", F.filter(F.transform(F.sequence(F.lit(0), last), window), lambda f: total(gain, f) + F.lit(1e-9) >= F.lit(needed) * norm(f))).where(F.size("windows") > 0)
+    lift = lambda h: F.element_at(gain, feature(h) + 1)
+    # a window whose features can't lift any family over unknown is not scored; most segments have no feature that lifts one
+    strong, at = hits, F.sequence(F.lit(0), last)
+    if needed > 0:
+        strong = once(hits, "strong", F.filter("hits", lambda h: lift(h) > 0)).where(F.size("strong") > 0)
+        lifted = lambda i: F.aggregate(F.filter("strong", lambda h: (h >= begin(i)) & (h < begin(i + WINDOW // STEP))), F.lit(0.0), lambda acc, h: acc + lift(h))
+        at = F.filter(at, lambda i: lifted(i) + F.lit(1e-9) >= F.lit(needed * math.sqrt(2.0)))
+    some = once(strong, "at", at).where(F.size("at") > 0)
+    near = once(some, "windows", F.filter(F.transform("at", window), lambda f: total(gain, f) + F.lit(1e-9) >= F.lit(needed) * norm(f))).where(F.size("windows") > 0)
     tables = [(numbers(v.tolist()), float(b)) for v, b in zip(model.weights, model.bias, strict=True)]
     scores = lambda f: F.array(*[(F.lit(b) + total(t, f) / norm(f)) / F.lit(model.temperature) for t, b in tables])
     logits = once(near, "z", F.transform("windows", scores))
