@@ -27,6 +27,8 @@ SPACE = "▁"
 INDEXED = 1 << 19
 #: Pairs of pieces that a task remembers.
 PAIRS = 1 << 21
+#: New pairs that are gathered before they are put among the others.
+RECENT = 1 << 13
 #: Units that it remembers, before those of one more batch.
 UNITS = 800_000
 
@@ -73,6 +75,7 @@ class Pieces:
         for i, n in enumerate(words):
             self.piece_codes[i, : len(n)] = self.code[[ord(c) for c in n]]
         self.pairs, self.pairs_apart = np.array([-1], np.int64), np.array([False])
+        self.recent, self.recent_apart = np.array([-1], np.int64), np.array([False])
         self.seen: dict[str, int] = {}  # units of earlier batches, with their ids
         self.flat, self.sizes = np.array([], np.int32), np.array([], np.int64)
         self.alone = np.zeros(len(names), bool)
@@ -147,18 +150,25 @@ class Pieces:
         return start + self.piece_lengths[which], start, self.piece_ids[which]
 
     def side_by_side(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """stays() of many pairs; what is known of pairs is kept in order of their keys."""
+        """stays() of many pairs; what is known of pairs is kept in order of their keys, new ones apart until they are RECENT."""
         keys = left << 32 | right
         if len(self.pairs) > PAIRS:
             self.pairs, self.pairs_apart = np.array([-1], np.int64), np.array([False])
-        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-        new = np.unique(keys[self.pairs[at] != keys])
-        if len(new):
-            apart = [self.stays(k >> 32, k & 0xFFFFFFFF) for k in new.tolist()]
-            place = np.searchsorted(self.pairs, new)
-            self.pairs, self.pairs_apart = np.insert(self.pairs, place, new), np.insert(self.pairs_apart, place, apart)
-            at = np.searchsorted(self.pairs, keys)
-        return self.pairs_apart[at]
+        out, known = looked_up(self.pairs, self.pairs_apart, keys)
+        rest = np.flatnonzero(~known)
+        if len(rest):
+            out[rest], known = looked_up(self.recent, self.recent_apart, keys[rest])
+            new = np.unique(keys[rest][~known])
+            if len(new):
+                apart = np.array([self.stays(k >> 32, k & 0xFFFFFFFF) for k in new.tolist()])
+                place = np.searchsorted(self.recent, new)
+                self.recent, self.recent_apart = np.insert(self.recent, place, new), np.insert(self.recent_apart, place, apart)
+                out[rest], _ = looked_up(self.recent, self.recent_apart, keys[rest])
+            if len(self.recent) > RECENT:
+                place = np.searchsorted(self.pairs, self.recent[1:])
+                self.pairs, self.pairs_apart = np.insert(self.pairs, place, self.recent[1:]), np.insert(self.pairs_apart, place, self.recent_apart[1:])
+                self.recent, self.recent_apart = np.array([-1], np.int64), np.array([False])
+        return out
 
     def units(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units one after another, and how many each has."""
@@ -249,6 +259,12 @@ class Pieces:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of wanted keys in a sorted table, and which are there."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return values[at], keys[at] == wanted
+
+
 @functools.lru_cache(maxsize=2)
 def loaded(path: str | None) -> Pieces:
     """One vocabulary for all tasks of a Python worker, with the units and pairs that it remembers."""

@@ -90,6 +90,15 @@ def test_pieces_are_the_library_s(spark, sf_dir):
     assert own.encode([]) == [] and own.encode(texts[:5])[0].tolist() == got[0].tolist()
 
 
+def test_pieces_of_a_long_text_without_spaces():
+    s = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(4)
+    text = "".join(rng.choice(list("etaoinshrdlucmfwypvbgk"), 60000))
+    own = pieces.Pieces()
+    began = time.perf_counter()
+    assert own.encode([text])[0].tolist() == s.encode(text) and time.perf_counter() - began < 30
+
+
 def test_pieces_odd_rows(spark):
     docs = odd_docs(spark)
     rows = pieces.digests(docs).collect()
