@@ -88,7 +88,6 @@ def test_quality_held_out_accuracy(spark, sf_dir):
     held = [r for r in run("op2_quality", spark, sf_dir).collect() if r.held_out and r.doc_id in label]
     good, bad = (np.array([r.score for r in held if label[r.doc_id] == k]) for k in (1, 0))
     right = np.mean([r.predicted == label[r.doc_id] for r in held])
-    print(len(good), len(bad), right, np.mean(good[:, None] > bad), np.sum(good < 0.3))
     assert len(good) > 50 and len(bad) > 8 and right > 0.92 and np.mean(good[:, None] > bad) > 0.98 and not (good < 0.3).any()
 
 
